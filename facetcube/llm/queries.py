@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetcube.llm import dyadic, heavy, setsketch, topn
+from facetcube.llm import bpe, dyadic, heavy, setsketch, topn
 from facetcube.plans.fact_sql import FACTS, key_of_day
 
 
@@ -56,7 +57,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.hex("grp").alias("dim1"), F.hex("item").alias("dim2"), "place")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_joint, p5_found, p5_percentiles, p6_found)}
+#: Folder of the public tokenizers.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), bpe.Vocabulary.load(f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_joint, p5_found, p5_percentiles, p6_found, p7_ids)}
 
 _CARRIED = f"""with {FACTS}, m as (select 'charDim1' field, c1 item from facts where c1 is not null union all select 'dim3', d3 from facts where d3 is not null),
  counted as (select field, item, count(*) facts, sum(count(*)) over (partition by field) total from m group by 1, 2)"""
