@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetcube.llm import bpe, dyadic, heavy, language, setsketch, topn
+from facetcube.llm import bpe, dyadic, heavy, language, leaks, setsketch, topn
 from facetcube.plans.fact_sql import FACTS, key_of_day
 
 
@@ -65,6 +65,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, sf_dir, "documents"), bpe.Vocabulary.load(f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = leaks.index_of(_table(spark, sf_dir, "eval_items"))
+    return leaks.find_leaks(_table(spark, sf_dir, "documents"), index).select("doc_id", "item_id")
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.load(_table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
     return language.identify(_table(spark, sf_dir, "documents"), model)
@@ -79,7 +84,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("doc_id", "par_no", "lang", "confidence")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_joint, p5_found, p5_percentiles, p6_found, p7_ids, p9_found, p9_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_joint, p5_found, p5_percentiles, p6_found, p7_ids, p8_found, p9_found, p9_languages)}
 
 _CARRIED = f"""with {FACTS}, m as (select 'charDim1' field, c1 item from facts where c1 is not null union all select 'dim3', d3 from facts where d3 is not null),
  counted as (select field, item, count(*) facts, sum(count(*)) over (partition by field) total from m group by 1, 2)"""
