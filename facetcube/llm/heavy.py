@@ -59,15 +59,15 @@ def threshold_top(counts: DataFrame, nodes: int, share: float) -> DataFrame:
     bounds = {r.field: (max(r.kth or 0, math.ceil(r.total * share)), r.total) for r in partial.groupBy("field").agg(kth.alias("kth")).join(totals, "field").collect()}
     if not bounds:
         return counts.select("field", "item", F.col("n").alias("low"), F.col("n").alias("high"), F.col("n").alias("facts")).limit(0)
-    bound = F.create_map(*(F.lit(x) for f, (b, _) in bounds.items() for x in (f, b)))[F.col("field")]
+    of_field = lambda at: F.create_map(*(x for f, v in bounds.items() for x in (F.lit(f), F.lit(v[at]).cast("bigint"))))[F.col("field")]
+    bound = of_field(0)
     # phase 2: everything at or above the bound's share; what is not sent is at most ceil(T) - 1
     sent = counts.filter(F.col("n") * nodes >= bound).groupBy("field", "item").agg(F.sum("n").alias("low"), F.count(F.lit(1)).alias("_from"))
     unsent = F.ceil(bound / F.lit(float(nodes))) - 1
     candidates = sent.withColumn("high", F.col("low") + (nodes - F.col("_from")) * unsent).filter(F.col("high") >= bound).drop("_from")
     # phase 3: exact counts of the candidates, of which there are at most nodes / share a field
     exact = counts.join(F.broadcast(candidates), ["field", "item"]).groupBy("field", "item", "low", "high").agg(F.sum("n").alias("facts"))
-    floor = F.create_map(*(F.lit(x) for f, (_, t) in bounds.items() for x in (f, t)))[F.col("field")]
-    return exact.filter(F.col("facts") * 1_000_000 >= floor * round(share * 1_000_000))
+    return exact.filter(F.col("facts") * 1_000_000 >= of_field(1) * round(share * 1_000_000))
 
 
 def frequent_members(facts: DataFrame, share: float = 0.02, nodes: int | None = None, fields: Sequence[str] = ("charDim1", "dim3")) -> DataFrame:
