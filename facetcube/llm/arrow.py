@@ -59,7 +59,8 @@ def runs(array: pa.Array) -> np.ndarray:
 
 def binary_rows(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of a binary or string array with each row's start and end in them (nulls: empty)."""
-    offsets = np.frombuffer(a.buffers()[1], np.int32, len(a) + a.offset + 1)[a.offset :].astype(np.int64)
+    wide = pa.types.is_large_binary(a.type) or pa.types.is_large_string(a.type)
+    offsets = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32, len(a) + a.offset + 1)[a.offset :].astype(np.int64)
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data, offsets[:-1], offsets[1:]
 

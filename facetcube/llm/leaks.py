@@ -121,7 +121,7 @@ class Item:
 
     def __post_init__(self) -> None:
         self.number = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
-        longer = sorted((w for w in self.number if len(w) > 1), key=len, reverse=True)
+        longer = sorted(self.number, key=len, reverse=True)
         self.pattern = re.compile("|".join(map(re.escape, longer)) or "(?!)")
         self.longest = max(map(len, self.number), default=0)
         self.sequence = np.array([self.number[w] for w in self.words], np.int64)
@@ -146,9 +146,13 @@ class Item:
                     i = best + 1
                     continue
             if own is None and len(t) > 4:
-                parts = self.pattern.findall(t)
-                if len(parts) > 1 and sum(map(len, parts)) >= len(t) - 1:
-                    out += [self.number[p] for p in parts]
+                parts = list(self.pattern.finditer(t))
+                if len(parts) > 1 and sum(len(p.group()) for p in parts) >= 0.7 * len(t):
+                    end = 0
+                    for p in parts:
+                        out += [-1] * (p.start() > end)
+                        out.append(self.number[p.group()])
+                        end = p.end()
                     i += 1
                     continue
             out.append(-1 if own is None else own)

@@ -35,7 +35,7 @@ from facetcube.storage import materialize
 
 @dataclass(frozen=True)
 class SetSketch:
-    """Parameters of the registers: number, base, rate; registers hold 0 to 255."""
+    """Parameters of the registers: number, base, rate. They count to sets of 1e18: a byte is enough from a base of about 1.19 on, below it two are taken."""
 
     m: int = 512
     b: float = 1.2
@@ -46,10 +46,24 @@ class SetSketch:
         """Relative standard error of a cardinality estimate."""
         return float(np.sqrt(((self.b + 1) / (self.b - 1) * np.log(self.b) - 1) / self.m))
 
+    @property
+    def top(self) -> int:
+        """Largest value of a register."""
+        return 255 if self.a * 1e18 < self.b**254 else 65535
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.top == 255 else np.uint16
+
+    @property
+    def width(self) -> int:
+        """Bytes of a sketch."""
+        return self.m * np.dtype(self.kind).itemsize
+
     @property
     def few(self) -> int:
         """Sets up to this size are kept as hashes, which take no more bytes than registers."""
-        return self.m // 8
+        return self.width // 8
 
     def registers(self, hashes: np.ndarray, groups: np.ndarray) -> np.ndarray:
         """Registers of each group: ``groups`` numbers the groups of the hashes from 0, in order."""
@@ -72,11 +86,11 @@ class SetSketch:
         with np.errstate(divide="ignore"):
             h = -np.log1p(-((~best).astype(np.float64) + 0.5) / 2.0**64) / self.a
             k = np.floor(1 - np.log(h) / np.log(self.b))
-        return np.clip(k, 0, 255).astype(np.uint8)
+        return np.clip(k, 0, self.top).astype(self.kind)
 
     def cardinality(self, registers: np.ndarray) -> np.ndarray:
         """Estimated size of each set (rows: sketches)."""
-        powers = np.power(self.b, -np.arange(256.0))
+        powers = np.power(self.b, -np.arange(self.top + 1.0))
         return self.m * (1 - 1 / self.b) / (self.a * np.log(self.b) * powers[registers].sum(axis=1))
 
     def joint(self, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
@@ -131,7 +145,7 @@ def split_states(batches: Iterator[pa.RecordBatch], sketch: SetSketch) -> Iterat
         regs = sketch.registers(hashes[dense], number[group[dense]])
         kept = np.where(large, 0, sizes)
         payload = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(kept * 8)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes[~dense]))])
-        wide = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(large * sketch.m)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(regs))])
+        wide = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(large * sketch.width)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(regs).view(np.uint8))])
         yield pa.RecordBatch.from_arrays([grp.take(pa.array(starts)), pa.array(day[starts], pa.int32()), pa.array(rows), payload, wide], ["grp", "day", "n", "hashes", "registers"])
 
 
@@ -153,7 +167,7 @@ def merge_spans(batches: Iterator[pa.RecordBatch], sketch: SetSketch, least: int
         new = np.r_[True, (codes[1:] != codes[:-1]) | (day[1:] != day[:-1])]
         of_day = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        regs = np.zeros((len(first), sketch.m), np.uint8)
+        regs = np.zeros((len(first), sketch.m), sketch.kind)
         lengths = h1[rows] - h0[rows]
         hashes = data[ragged(h0[rows], lengths)].view(np.uint64) if lengths.sum() else np.zeros(0, np.uint64)
         owner = np.repeat(of_day, lengths // 8)
@@ -161,7 +175,7 @@ def merge_spans(batches: Iterator[pa.RecordBatch], sketch: SetSketch, least: int
             sparse, number = np.unique(owner, return_inverse=True)
             regs[sparse] = sketch.registers(hashes, number)
         for i in np.flatnonzero(r1[rows] > r0[rows]):
-            np.maximum(regs[of_day[i]], wide[r0[rows[i]] : r1[rows[i]]], out=regs[of_day[i]])
+            np.maximum(regs[of_day[i]], wide[r0[rows[i]] : r1[rows[i]]].view(sketch.kind), out=regs[of_day[i]])
         g, d, count = codes[first], day[first], np.add.reduceat(n, first)
         names = grp.dictionary_encode().dictionary
         dates = {x: datetime.date(1970, 1, 1) + datetime.timedelta(int(x)) for x in np.unique(d)}
@@ -233,7 +247,7 @@ def joint_months(spans: DataFrame, sketch: SetSketch = SetSketch()) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 4096):
-            u, v = (np.frombuffer(b"".join(column(t, c).to_pylist()), np.uint8).reshape(-1, sketch.m) for c in ("u", "v"))
+            u, v = (np.frombuffer(b"".join(column(t, c).to_pylist()), sketch.kind).reshape(-1, sketch.m) for c in ("u", "v"))
             r = sketch.joint(u, v)
             yield pa.RecordBatch.from_arrays([column(t, "grp"), column(t, "month"), *(pa.array(r[k]) for k in ("union", "intersection", "jaccard", "jaccard_error"))], ["grp", "month", "union", "intersection", "jaccard", "jaccard_error"])
 
