@@ -172,6 +172,10 @@ class Hierarchy(Dimension):
             t = F.coalesce(t, F.raise_error(F.lit(f"dimension {self.name} is null and has no nullkey")).cast("timestamp_ntz"))
         return F.date_format(t, self.formats[level - 1][0])
 
+    def up(self, key: Column, level: int) -> Column:
+        """The key of a coarser level, of a key of a finer one: its beginning."""
+        return F.substring(key, 1, self.width(level)) if level else F.lit("")
+
     def bound(self, value: Any, level: int | None = None) -> str:
         level = self.depth if level is None else level
         if isinstance(value, Member):

@@ -46,7 +46,7 @@ def state_columns(cube: Cube, m: Measure) -> list[str]:
 
 
 def encode(facts: DataFrame, cube: Cube, dims: Iterable[str], measures: Iterable[str]) -> DataFrame:
-    """Facts as keys of the dimensions (all levels of hierarchies) and converted measures."""
+    """Facts as keys of the dimensions (of hierarchies the finest level) and converted measures."""
     kinds = {f.name: f.dataType for f in facts.schema.fields}
     out: dict[str, Column] = {}
     for d in dims:
@@ -54,8 +54,7 @@ def encode(facts: DataFrame, cube: Cube, dims: Iterable[str], measures: Iterable
             raise ModelError(f"the facts have no column {d}")
         dim, c = cube.dimensions[d], facts[d]
         if dim.depth:
-            for level in range(1, dim.depth + 1):
-                out[f"{d}__{level}"] = dim.level_key(c, kinds[d], level)
+            out[f"{d}_key"] = dim.level_key(c, kinds[d], dim.depth)
         else:
             out[d] = dim.key_or_error(c, kinds[d])
     for m in measures:
@@ -100,7 +99,7 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
     """Cells of a cuboid from encoded facts, all levels of all hierarchies."""
     hierarchies = cube.hierarchies(cuboid)
     flat = [d for d in cuboid.dims if not cube.dimensions[d].depth]
-    finest = flat + [f"{h.name}__{level}" for h in hierarchies for level in range(1, h.depth + 1)]
+    finest = flat + [f"{h.name}_key" for h in hierarchies]
     plain, summaries = [], []
     for name in measures:
         m = cube.measures[name]
@@ -122,7 +121,7 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
         cells = encoded.groupBy(*finest).agg(*plain)
     whole = cells
     for h in hierarchies:
-        whole = whole.withColumns({f"{h.name}_level": F.lit(h.depth), f"{h.name}_key": F.col(f"{h.name}__{h.depth}")})
+        whole = whole.withColumn(f"{h.name}_level", F.lit(h.depth))
     keys = key_columns(cube, cuboid)
     states = [c for name in measures for c in state_columns(cube, cube.measures[name])]
     out = whole.select(*keys, *states)
@@ -130,7 +129,7 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
         # every combination of levels but the finest one
         depths = [range(h.depth + 1) for h in hierarchies]
         combos = [c for c in itertools.product(*depths) if any(x < h.depth for x, h in zip(c, hierarchies, strict=True))]
-        level = lambda h, k: [F.lit(k).alias(f"{h.name}_level"), (F.col(f"{h.name}__{k}") if k else F.lit("")).alias(f"{h.name}_key")]
+        level = lambda h, k: [F.lit(k).alias(f"{h.name}_level"), h.up(F.col(f"{h.name}_key"), k).alias(f"{h.name}_key")]
         up = cells.withColumn("_up", F.explode(F.array(*(F.struct(*(x for h, k in zip(hierarchies, c, strict=True) for x in level(h, k))) for c in combos))))
         up = up.select(*flat, "_up.*", *states)
         out = out.unionByName(merge_cells(up, keys, cube, measures))
