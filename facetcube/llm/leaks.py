@@ -1,7 +1,7 @@
 """Documents that contain passages of held-out items: BM25 retrieval with block-max pruning, then alignment.
 
 Index. Texts are folded to a stream of letters and digits in which case,
-accents, composition, look-alike characters, punctuation, spaces, markup and
+accents, composition, garbled accents, look-alike characters, punctuation, spaces, markup and
 invisible characters make no difference. The terms are its runs of eight
 characters, which do not care where words are broken. An inverted index holds,
 for each term, the items that have it with their BM25 impact, and for each
@@ -64,6 +64,17 @@ def fold(ch: str) -> int:
     return 0
 
 
+def _byte(ch: str) -> int:
+    """The byte that a character stands for in a text whose UTF-8 was read as Windows-1252 or Latin-1, if it can follow a first byte; else 0."""
+    if 0x80 <= ord(ch) <= 0xBF:
+        return ord(ch)
+    try:
+        b = ch.encode("cp1252")[0]
+    except UnicodeEncodeError:
+        return 0
+    return b if 0x80 <= b <= 0xBF else 0
+
+
 _folds: list[Table] = []
 LETTERS = np.frombuffer((" abcdefghijklmnopqrstuvwxyz0123456789" + "".join(chr(0xC0 + i) for i in range(27))).encode("latin-1"), np.uint8)
 
@@ -71,9 +82,15 @@ LETTERS = np.frombuffer((" abcdefghijklmnopqrstuvwxyz0123456789" + "".join(chr(0
 def folded(c: Codes) -> np.ndarray:
     """``fold`` of every code point, with tags gone and entities as the characters that they stand for."""
     if not _folds:
-        _folds.append(Table(fold, np.int8))
+        _folds.extend([Table(fold, np.int8), Table(_byte, np.int16)])
     f = _folds[0][c.codes]
     codes, n = c.codes, len(c.codes)
+    first = np.flatnonzero((codes[:-1] == 0xC3) | (codes[:-1] == 0xC2)) if n else np.zeros(0, np.int64)
+    if len(first):  # two characters that are one in UTF-8
+        b = _folds[1][codes[first + 1]]
+        first, b = first[b > 0], b[b > 0]
+        f[first] = _folds[0][(((codes[first] & 0x1F) << 6) | (b.astype(np.uint32) & 0x3F)).astype(np.uint32)]
+        f[first + 1] = -1
     opens, closes = np.flatnonzero(codes == 60), np.flatnonzero(codes == 62)
     if len(opens) and len(closes):
         k = np.searchsorted(closes, opens)

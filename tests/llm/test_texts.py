@@ -136,7 +136,7 @@ def passages(items, seed=1):
         yield item, {
             "whole": text, "half": " ".join(half), "upper": text.upper(), "bare": re.sub(r"\W+", " ", text), "split": re.sub(r"(\w{3})(\w{3})", "\\1-\n\\2", text),
             "joined": "".join(half), "spaced": " ".join(text), "invisible": re.sub(r"(\w)(\w)", "\\1\u200b\\2", text), "markup": re.sub(r"(\w{5,})", "<b>\\1</b>", text).replace(" ", "&nbsp;"),
-            "look": text.translate(LOOK), "two": " ".join(a) + ". " + FILLER * 12 + " ".join(b), "edited": " ".join(edited),
+            "look": text.translate(LOOK), "garbled": text.encode().decode("cp1252", "ignore"), "two": " ".join(a) + ". " + FILLER * 12 + " ".join(b), "edited": " ".join(edited),
         }
 
 
