@@ -139,6 +139,31 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
     return out
 
 
+def lattice(cuboids: list[Cuboid]) -> dict[Cuboid, Cuboid | None]:
+    """For each cuboid the one to derive it from: the smallest that has all of its dimensions and more; None: from facts."""
+    return {c: min((p for p in cuboids if set(p.dims) > set(c.dims)), key=lambda p: len(p.dims), default=None) for c in cuboids}
+
+
+def derive_cells(cells: DataFrame, cube: Cube, parent: Cuboid, cuboid: Cuboid, measures: list[str]) -> DataFrame:
+    """Cells of a cuboid from those of one with more dimensions; of hierarchies that it lacks, the cells of ALL.
+
+    Facts are read for the roots of the lattice only. Levels are in the
+    parent's cells already and need no rolling up.
+    """
+    for h in cube.hierarchies(parent):
+        if h.name not in cuboid.dims:
+            cells = cells.filter(F.col(f"{h.name}_level") == 0)
+    return merge_cells(cells, key_columns(cube, cuboid), cube, measures)
+
+
+def cell_schema(cube: Cube, cuboid: Cuboid, measures: Iterable[str]) -> str:
+    """Schema of the files of a cuboid, as DDL."""
+    kinds = {k: "int" if k.endswith("_level") and k[:-6] in cube.dimensions else "string" for k in key_columns(cube, cuboid)}
+    for name in measures:
+        kinds |= {c: "bigint" if c == f"{name}__cnt" else "double" for c in state_columns(cube, cube.measures[name])}
+    return ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", _written bigint"
+
+
 def _check_decay(s: SummaryFunction) -> None:
     if HOUR_MS / s.summarizer.beta > 500:
         raise ModelError(f"function {s.name}: dt is too short for hourly cells")
@@ -166,8 +191,9 @@ def chosen_measures(cube: Cube, include: Collection[str] | None, exclude: Collec
 def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None) -> list[str]:
     """Compile facts as the batch ``batch``; a batch of that name is replaced. The paths of the cuboids written.
 
-    A batch that a compaction has absorbed is not compiled again. Facts are
-    encoded once and kept, on disk if need be, while several cuboids are made.
+    A batch that a compaction has absorbed is not compiled again. Cuboids whose
+    dimensions another one has are derived from its cells. Facts are encoded
+    once and kept, on disk if need be, while several roots are made of them.
     """
     if not batch or "/" in batch or batch.startswith(("_", ".")):
         raise ModelError(f"{batch!r} is no name of a batch")
@@ -178,23 +204,31 @@ def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, in
         if any(batch in b.get("absorbed", ()) for b in manifest.values()):
             continue
         todo.append((cuboid, manifest))
-    dims = list(dict.fromkeys(d for c, _ in todo for d in c.dims))
-    encoded = encode(facts, cube, dims, measures)
-    if len(todo) > 1:
+    parents = lattice([c for c, _ in todo])
+    roots = [c for c, _ in todo if parents[c] is None]
+    encoded = encode(facts, cube, dict.fromkeys(d for c in roots for d in c.dims), measures)
+    if len(roots) > 1:
         encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(cuboid: Cuboid, manifest: dict[str, dict]) -> str:
-        cells = compile_cells(encoded, cube, cuboid, measures)
+        if (parent := parents[cuboid]) is None:
+            cells = compile_cells(encoded, cube, cuboid, measures)
+        else:
+            made = spark.read.schema(cell_schema(cube, parent, measures)).parquet(f"{catalog.table(cube, parent)}/{batch}")
+            cells = derive_cells(made, cube, parent, cuboid, measures)
         _write(catalog, cube, cuboid, cells.withColumn("_written", F.lit(int(time.time())).cast("bigint")), batch)
         catalog.write_manifest(cube, cuboid, manifest | {batch: {"written": int(time.time()), "measures": measures}})
         return cuboid.path
 
+    written: list[str] = []
     try:
         with ThreadPoolExecutor(CUBOIDS_AT_ONCE) as pool:  # small cuboids leave cores idle: their jobs overlap
-            jobs = [pool.submit(inheritable_thread_target(spark)(one), c, m) for c, m in todo]
-            written = [j.result() for j in jobs]
+            while len(written) < len(todo):
+                ready = [(c, m) for c, m in todo if c.path not in written and (parents[c] is None or parents[c].path in written)]
+                jobs = [pool.submit(inheritable_thread_target(spark)(one), c, m) for c, m in ready]
+                written += [j.result() for j in jobs]
     finally:
-        if len(todo) > 1:
+        if len(roots) > 1:
             encoded.unpersist()
     return written
 
@@ -210,11 +244,8 @@ def read_cells(catalog: Catalog, cube: Cube, cuboid: Cuboid) -> DataFrame | None
     if not batches:
         return None
     table = catalog.table(cube, cuboid)
-    schema: dict[str, str] = {k: "int" if k.endswith("_level") and k[:-6] in cube.dimensions else "string" for k in key_columns(cube, cuboid)}
-    for name in dict.fromkeys(m for b in batches.values() for m in b["measures"]):
-        if name in cube.measures:
-            schema |= {c: "bigint" if c == f"{name}__cnt" else "double" for c in state_columns(cube, cube.measures[name])}
-    ddl = ", ".join(f"`{k}` {t}" for k, t in schema.items()) + ", _written bigint"
+    measures = [m for m in dict.fromkeys(m for b in batches.values() for m in b["measures"]) if m in cube.measures]
+    ddl = cell_schema(cube, cuboid, measures)
     return catalog.spark.read.schema(ddl).parquet(*(f"{table}/{b}" for b in sorted(batches)))
 
 

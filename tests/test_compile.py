@@ -40,6 +40,20 @@ def test_any_partition_into_batches_gives_the_whole(spark, engine):
         assert len(engine.catalog.manifest(CUBE, c)) == 1
 
 
+def test_derived_cuboids_equal_compiled_ones(spark, engine):
+    from facetcube.operators import compile as c
+
+    cube = Cube.of("K", CUBE.dimensions.values(), [["k", "t"], ["k"], ["t"]], CUBE.measures.values(), CUBE.functions.values())
+    assert [p and p.path for p in c.lattice(list(cube.cuboids)).values()] == [None, "k/t", "k/t"]
+    engine.deploy(cube)
+    engine.compile(cube, facts(spark), "all")
+    encoded = c.encode(facts(spark), cube, cube.dimensions, cube.measures)
+    for cuboid in cube.cuboids:
+        keys = c.key_columns(cube, cuboid)
+        rows = [{tuple(r[k] for k in keys): tuple(round(r[x], 6) if r[x] is not None else None for x in df.columns if x not in (*keys, "_written")) for r in df.collect()} for df in (c.read_cells(engine.catalog, cube, cuboid), c.compile_cells(encoded, cube, cuboid, list(cube.measures)))]
+        assert rows[0] == rows[1] and rows[0]
+
+
 def test_intervals_add_up(spark, engine):
     engine.deploy(CUBE)
     engine.compile("K", facts(spark), "all")
