@@ -35,8 +35,8 @@ class Engine:
     def drop(self, cube: Cube | str) -> None:
         self.catalog.drop(self._cube(cube))
 
-    def compile(self, cube: Cube | str, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None) -> list[str]:
-        return compile_batch(self.catalog, self._cube(cube), facts, batch, include, exclude, groups)
+    def compile(self, cube: Cube | str, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, spread: int | None = None) -> list[str]:
+        return compile_batch(self.catalog, self._cube(cube), facts, batch, include, exclude, groups, spread)
 
     def compile_stream(self, cube: Cube | str, facts: DataFrame, name: str, checkpoint: str, **more: Any) -> StreamingQuery:
         return compile_stream(self.catalog, self._cube(cube), facts, name, checkpoint, **more)

@@ -188,12 +188,14 @@ def chosen_measures(cube: Cube, include: Collection[str] | None, exclude: Collec
     return found
 
 
-def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None) -> list[str]:
+def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, spread: int | None = None) -> list[str]:
     """Compile facts as the batch ``batch``; a batch of that name is replaced. The paths of the cuboids written.
 
     A batch that a compaction has absorbed is not compiled again. Cuboids whose
     dimensions another one has are derived from its cells. Facts are encoded
     once and kept, on disk if need be, while several roots are made of them.
+    ``spread`` deals them into so many parts first: for inputs of a few splits,
+    such as files of one row group, that would leave cores idle.
     """
     if not batch or "/" in batch or batch.startswith(("_", ".")):
         raise ModelError(f"{batch!r} is no name of a batch")
@@ -206,6 +208,8 @@ def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, in
         todo.append((cuboid, manifest))
     parents = lattice([c for c, _ in todo])
     roots = [c for c, _ in todo if parents[c] is None]
+    if spread:
+        facts = facts.repartition(spread)
     encoded = encode(facts, cube, dict.fromkeys(d for c in roots for d in c.dims), measures)
     if len(roots) > 1:
         encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)

@@ -76,7 +76,7 @@ def compiled(spark: SparkSession, sf_dir: str, *cubes: str) -> Engine:
         if (id(spark), sf_dir, name) not in _engines:
             cube, facts = _FACTS[name]
             engine.deploy(cube)
-            engine.compile(cube, facts(spark, sf_dir), "all")
+            engine.compile(cube, facts(spark, sf_dir), "all", spread=spark.sparkContext.defaultParallelism)  # the test tables are single files
             _engines[(id(spark), sf_dir, name)] = engine
     return engine
 
