@@ -36,7 +36,11 @@ FIELDS: dict[str, Field] = {
 
 @dataclass(frozen=True)
 class AggFunction:
-    """A named function over the standard fields. ``final`` gets the fields by name."""
+    """A named function. ``needs`` are the standard fields it reads, ``fields`` those it keeps of its own (as doubles); ``final`` gets all by name.
+
+    This is the SPI of custom functions: a state of columns, built from facts,
+    merged from cells, finished by an expression, without code a row.
+    """
 
     name: str
     needs: tuple[str, ...]
@@ -46,8 +50,7 @@ class AggFunction:
 
     @property
     def supports_complement(self) -> bool:
-        own = dict(self.fields)
-        return all((own.get(f) or FIELDS[f]).additive for f in self.needs)
+        return all(FIELDS[f].additive for f in self.needs) and all(f.additive for _, f in self.fields)
 
 
 def _variance(p: dict[str, Column]) -> Column:
@@ -95,3 +98,25 @@ def canny_avg(name: str, ordinal: int, dt: float) -> SummaryFunction:
 
 def canny_rate(name: str, ordinal: int, dt: float) -> SummaryFunction:
     return SummaryFunction(name, int(ordinal), Summarizer("canny_rate", float(dt)))
+
+
+#: Functions that models may name with the tag !Function: code cannot be stored in a model.
+REGISTERED: dict[str, AggFunction] = {}
+
+
+def register(function: AggFunction) -> AggFunction:
+    """Make a custom function known by its name, on every driver that loads models with it."""
+    REGISTERED[function.name] = function
+    return function
+
+
+def registered(name: str) -> AggFunction:
+    if name not in REGISTERED:
+        raise ValueError(f"function {name} is not registered")
+    return REGISTERED[name]
+
+
+def state_of_fact(x: Column) -> Column:
+    """The state of a single fact as a struct of the standard fields; null for a null measure."""
+    x = x.cast("double")
+    return F.when(x.isNotNull(), F.struct(F.lit(1).cast("bigint").alias("cnt"), x.alias("sum"), (x * x).alias("sum_sq"), x.alias("min"), x.alias("max")))

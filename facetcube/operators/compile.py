@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetcube import storage
-from facetcube.functions.aggregates import FIELDS, SummaryFunction
+from facetcube.functions.aggregates import FIELDS, AggFunction, Field, SummaryFunction
 from facetcube.functions.summarizers import HOUR_MS
 from facetcube.model import Cube, Cuboid, Measure, ModelError
 from facetcube.sources.catalog import Catalog
@@ -40,9 +40,15 @@ def base_fields(m: Measure) -> list[str]:
     return ["cnt"] if m.samples else list(FIELDS)
 
 
+def own_fields(cube: Cube, m: Measure) -> dict[str, tuple[AggFunction, Field]]:
+    """Fields that the model's own functions keep of a measure, by column."""
+    fns = [f for f in cube.functions.values() if isinstance(f, AggFunction) and not m.samples]
+    return {f"{m.name}__{f.name}__{n}": (f, x) for f in fns for n, x in f.fields}
+
+
 def state_columns(cube: Cube, m: Measure) -> list[str]:
     """Columns of a measure's state."""
-    return [f"{m.name}__{f}" for f in base_fields(m)] + [f"{m.name}__{s.name}__{f}" for s in cube.summaries(m) for f in s.summarizer.fields]
+    return [f"{m.name}__{f}" for f in base_fields(m)] + [*own_fields(cube, m)] + [f"{m.name}__{s.name}__{f}" for s in cube.summaries(m) for f in s.summarizer.fields]
 
 
 def encode(facts: DataFrame, cube: Cube, dims: Iterable[str], measures: Iterable[str]) -> DataFrame:
@@ -82,6 +88,10 @@ def merge_cells(cells: DataFrame, keys: list[str], cube: Cube, measures: Iterabl
             if c in cells.columns and (wanted is None or f in wanted):
                 x = F.col(f"`{c}`")
                 aggs.append(FIELDS[f].of_cells(x * weight if weight is not None and FIELDS[f].additive else x).alias(c))
+        for c, (fn, f) in own_fields(cube, m).items():
+            if c in cells.columns and (wanted is None or fn.name in wanted):
+                x = F.col(f"`{c}`")
+                aggs.append(f.of_cells(x * weight if weight is not None and f.additive else x).alias(c))
         for s in cube.summaries(m):
             prefix = f"{name}__{s.name}__"
             if f"{prefix}t" in cells.columns and (wanted is None or s.name in wanted):
@@ -104,6 +114,7 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
     for name in measures:
         m = cube.measures[name]
         plain += [FIELDS[f].of_facts(F.col(f"`{name}__x`")).alias(f"{name}__{f}") for f in base_fields(m)]
+        plain += [f.of_facts(F.col(f"`{name}__x`")).cast("double").alias(c) for c, (_, f) in own_fields(cube, m).items()]
         summaries += [(name, s) for s in cube.summaries(m)]
     if summaries:  # states of an hour of samples relative to its end, then decayed to the cell's latest time
         times = sorted({name for name, _ in summaries})

@@ -40,6 +40,7 @@ class CubeQuery:
         self.levels: dict[str, int] = {}
         self.multi = False
         self.as_members = False
+        self.in_order = False
         self.state_of: list[tuple[str, str]] = []
         if cube is not None:
             self.set_cube(cube)
@@ -90,7 +91,8 @@ class CubeQuery:
         if measure not in cube.measures:
             raise ModelError(f"Unknown measure {measure}")
         m = cube.measures[measure]
-        for name in (["COUNT", *cube.functions] if m.samples else [*STANDARD]):
+        own = [n for n, f in cube.functions.items() if isinstance(f, SummaryFunction) == m.samples]
+        for name in (["COUNT"] if m.samples else [*STANDARD]) + own:
             self.select(name, measure)
         return self
 
@@ -154,6 +156,11 @@ class CubeQuery:
         self.as_members = True
         return self
 
+    def ordered(self) -> CubeQuery:
+        """Rows in ascending order of the group keys."""
+        self.in_order = True
+        return self
+
     @property
     def aliases(self) -> list[str]:
         return [i.alias for i in self.items]
@@ -189,7 +196,7 @@ class CubeQuery:
             f = cube.function(i.function.removesuffix("#state"))
             if weight is not None and not f.supports_complement:
                 raise ModelError(f"{f.name} cannot be taken from a complement")
-            fields.setdefault(i.name, {"cnt"}).update([f.name] if isinstance(f, SummaryFunction) else f.needs)
+            fields.setdefault(i.name, {"cnt"}).update([f.name] if isinstance(f, SummaryFunction) else [f.name, *f.needs])
         cells = read_cells(self.catalog, cube, cuboid)
         if cells is None:
             cells = spark.createDataFrame([], ", ".join(f"`{k}` {'int' if k.endswith('_level') else 'string'}" for k in key_columns(cube, cuboid)))
@@ -199,6 +206,8 @@ class CubeQuery:
         merged = merge_cells(cells, keys, cube, list(fields), fields, weight, extra=[F.count(F.lit(1)).alias("_cells")])
         if not keys:
             merged = merged.filter("_cells > 0")
+        if self.in_order:
+            merged = merged.orderBy(*keys)
         return merged.select(*(self._column(cube, merged.columns, i, points).alias(i.alias) for i in self.items))
 
     def _column(self, cube: Cube, present: Sequence[str], i: Item, points: dict[str, Any]) -> Column:
@@ -212,4 +221,4 @@ class CubeQuery:
             prefix = f"{i.name}__{f.name}__"
             state = F.when(get(f"{prefix}t").isNotNull(), F.struct(*(get(prefix + x).alias(x) for x in f.summarizer.fields)))
             return state if i.function.endswith("#state") else f.summarizer.value(state)
-        return f.final({x: get(f"{i.name}__{x}") for x in {*f.needs, "cnt"}})
+        return f.final({x: get(f"{i.name}__{x}") for x in {*f.needs, "cnt"}} | {x: get(f"{i.name}__{f.name}__{x}") for x, _ in f.fields})

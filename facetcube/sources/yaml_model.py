@@ -12,7 +12,7 @@ from typing import Any
 
 import yaml
 
-from facetcube.functions.aggregates import SummaryFunction, canny_avg, canny_rate
+from facetcube.functions.aggregates import SummaryFunction, canny_avg, canny_rate, registered
 from facetcube.functions.summarizers import Summarizer
 from facetcube.model import Cube, Cuboid, DateHierarchy, Dimension, HexDimension, Hierarchy, IrregularSampleMeasure, ModelError, NumericMeasure, TimeHourHierarchy, UTF8CharDimension
 
@@ -32,7 +32,7 @@ def _of_list(make):
         args = loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else [loader.construct_scalar(node)]
         try:
             return make(*args)
-        except TypeError as e:
+        except (TypeError, ValueError) as e:
             raise ModelError(f"{node.tag}: {e}") from None
 
     return construct
@@ -51,7 +51,7 @@ def _simple_cuboid(loader: yaml.SafeLoader, node: yaml.Node) -> Cuboid:
 for _tag, _make in {
     "HexDimension": HexDimension, "UTF8CharDimension": UTF8CharDimension, "SimpleTimeHourHierarchy": TimeHourHierarchy,
     "SimpleTimeHierarchy": TimeHourHierarchy, "SimpleDateHierarchy": DateHierarchy, "NumericMeasure": NumericMeasure, "SimpleMeasure": NumericMeasure,
-    "IrregularSampleMeasure": IrregularSampleMeasure, "FCannyAvgSum": canny_avg, "FCannyRateSum": canny_rate,
+    "IrregularSampleMeasure": IrregularSampleMeasure, "Function": registered, "FCannyAvgSum": canny_avg, "FCannyRateSum": canny_rate,
     "FExpAvgSum": lambda name, ordinal, dt: SummaryFunction(name, int(ordinal), Summarizer("exp_avg", float(dt))),
     "FExpRateSum": lambda name, ordinal, dt: SummaryFunction(name, int(ordinal), Summarizer("exp_rate", float(dt))),
 }.items():
@@ -99,5 +99,5 @@ def dump_cube(cube: Cube) -> str:
     tags = {"canny_avg": "FCannyAvgSum", "canny_rate": "FCannyRateSum", "exp_avg": "FExpAvgSum", "exp_rate": "FExpRateSum"}
     if cube.functions:
         out.append("-")
-        out += [f"  - !{tags[f.summarizer.kind]} {_flow([f.name, f.ordinal, f.summarizer.dt])}" for f in cube.functions.values() if isinstance(f, SummaryFunction)]
+        out += [f"  - !{tags[f.summarizer.kind]} {_flow([f.name, f.ordinal, f.summarizer.dt])}" if isinstance(f, SummaryFunction) else f"  - !Function {_flow([f.name])}" for f in cube.functions.values()]
     return "\n".join(out) + "\n"
