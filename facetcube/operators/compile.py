@@ -144,10 +144,8 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
         up = cells.withColumn("_up", F.explode(F.array(*(F.struct(*(x for h, k in zip(hierarchies, c, strict=True) for x in level(h, k))) for c in combos))))
         up = up.select(*flat, "_up.*", *states)
         out = out.unionByName(merge_cells(up, keys, cube, measures))
-    for name in measures:  # no fact with the measure: no state
-        counted = F.col(f"`{name}__cnt`") > 0
-        out = out.withColumn(f"{name}__cnt", F.when(counted, F.col(f"`{name}__cnt`")))
-    return out
+    # no fact with the measure: no state
+    return out.withColumns({f"{name}__cnt": F.nullif(F.col(f"`{name}__cnt`"), F.lit(0).cast("bigint")) for name in measures})
 
 
 def lattice(cuboids: list[Cuboid]) -> dict[Cuboid, Cuboid | None]:
