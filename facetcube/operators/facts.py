@@ -43,13 +43,21 @@ def day_of_key(key: int) -> int:
     return (datetime.date(key // 10000, key // 100 % 100, key % 100) - datetime.date(1970, 1, 1)).days
 
 
+def deliveries(df: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns of each delivery of a fact, with its key (fact_id, _lone).
+
+    A row without ``fact_id`` cannot be matched to another one and counts as
+    its own fact: ``_lone`` tells such rows apart.
+    """
+    lone = F.when(F.col("fact_id").isNull(), F.monotonically_increasing_id())
+    return df.select("fact_id", lone.alias("_lone"), *(c.alias(k) for k, c in columns.items()))
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """The given columns of each fact, a fact once, however often it was delivered.
 
     Deliveries of a fact agree in all fields but batch and time of arrival, so
     the distinct rows of (fact_id, columns) are the facts; that needs one
-    shuffle on keys that are spread evenly and no sort. A row without
-    ``fact_id`` cannot be matched to another one and counts as its own fact.
+    shuffle on keys that are spread evenly and no sort.
     """
-    lone = F.when(F.col("fact_id").isNull(), F.monotonically_increasing_id())
-    return df.select("fact_id", lone.alias("_lone"), *(c.alias(k) for k, c in columns.items())).distinct()
+    return deliveries(df, **columns).distinct()

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetcube.operators.facts import MS_PER_DAY, day_key, day_number, day_of_key, hex_member, once
+from facetcube.operators.facts import day_key, day_number, day_of_key, deliveries, hex_member, once
 from facetcube.storage import delete
 
 PERIODS = (7, 30)
@@ -40,12 +40,13 @@ def daily_amounts(facts: DataFrame, entity: Column, measures: Sequence[str]) ->
     day whose facts have no measure keeps its row, with zeros. A fact without
     ``arrived_at`` counts as punctual. An empty input gives no rows.
     """
-    f = once(facts, entity=entity, day=day_number(F.col("impressionTime")), **{m: F.col(m) for m in measures}, **({"arrived_at": F.col("arrived_at")} if "arrived_at" in facts.columns else {}))
-    f = f.filter("entity is not null and day is not null")
-    if "arrived_at" in f.columns:  # a fact is as late as its first delivery
-        f = f.groupBy("fact_id", "_lone", "entity", "day", *measures).agg(F.min("arrived_at").alias("arrived_at"))
+    fields = {"entity": entity, "day": day_number(F.col("impressionTime"))} | {m: F.col(m) for m in measures}
+    if "arrived_at" in facts.columns:  # a fact is as late as its first delivery
+        f = deliveries(facts, **fields, arrived_at=F.col("arrived_at")).filter("entity is not null and day is not null")
+        f = f.groupBy("fact_id", "_lone", *fields).agg(F.min("arrived_at").alias("arrived_at"))
         late = F.coalesce(F.unix_date(F.to_date("arrived_at")) > F.col("day"), F.lit(False))
     else:
+        f = once(facts, **fields).filter("entity is not null and day is not null")
         late = F.lit(False)
     f = f.withColumn("_late", late)
     sums = [F.sum(F.when(F.col("_late") == is_late, F.coalesce(m, F.lit(0))).otherwise(0)).alias(name) for m in measures for is_late, name in ((False, m), (True, f"late_{m}"))]
