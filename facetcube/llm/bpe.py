@@ -134,12 +134,13 @@ class Vocabulary:
             ids = packed
 
 
-SPACES = "\t\n\v\f\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+#: Code points of white space.
+SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
 def _kind(ch: str) -> int:
-    if ch in SPACES:
+    if ord(ch) in SPACES:
         return SPACE
     return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(ch)[0], OTHER)
 

@@ -44,17 +44,20 @@ K1, B = 1.2, 0.75
 #: Look-alikes of Latin letters, capitals and small letters each by their own shape.
 CYRILLIC_GREEK = str.maketrans("АВЕЅІЈКМНОРСТУХаеѕіјкмнорстухвԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικτυχ", "ABESIJKMHOPCTYXaesijkmhopctyxbdqwhABEZHIKMNOPTYXaopviktux")
 SINGLE = {"ß": "s", "æ": "a", "œ": "o", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "p", "ı": "i", "ſ": "s", "ħ": "h"}
+#: Characters beside the format characters that take no room.
+INVISIBLE = (0xAD, 0x34F, 0x115F, 0x180E, 0x3164)
 #: Signs that scans confuse with each other.
-CONFUSED = str.maketrans("0155|e8", "ols" + "s" + "lcb") | str.maketrans("i", "l")
+CONFUSED = {"0": "o", "1": "l", "5": "s", "8": "b", "e": "c", "i": "l"}
 
 
 def fold(ch: str) -> int:
     """Letter or digit of the stream (1 to 63), 0 for what separates words, -1 for what vanishes."""
     cat = unicodedata.category(ch)
-    if cat[0] == "M" or cat == "Cf" or ch in "­͏ᅟ᠎ㅤ":
+    if cat[0] == "M" or cat == "Cf" or ord(ch) in INVISIBLE:
         return -1
     base = unicodedata.normalize("NFKD", ch)[:1].translate(CYRILLIC_GREEK).lower()[:1]
-    base = SINGLE.get(base, base).translate(CONFUSED)
+    base = SINGLE.get(base, base)
+    base = CONFUSED.get(base, base)
     if "a" <= base <= "z":
         return ord(base) - ord("a") + 1
     if "0" <= base <= "9":
