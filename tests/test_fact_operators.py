@@ -88,25 +88,25 @@ def test_versions_mark_what_corrections_touch(facts):
 
 def test_store_advances_and_corrects(spark, tmp_path):
     rng = random.Random(2)
-    amounts = {(e, d): rng.randrange(9) for e in (b"a", b"b", b"c") for d in range(100, 150) if rng.random() < 0.3}
-    late = {(b"a", 120): 5, (b"c", 118): 2, (b"z", 121): 4}
-    store = rolling.RollingStore(spark, "file://" + str(tmp_path / "s"), ["x"], (3, 10))
-    for d in range(100, 126):
+    amounts = {(e, d): rng.randrange(9) for e in (b"a", b"b", b"c") for d in range(100, 120) if rng.random() < 0.4}
+    late = {(b"a", 105): 5, (b"c", 103): 2, (b"z", 106): 4}
+    store = rolling.RollingStore(spark, "file://" + str(tmp_path / "s"), ["x"], (2, 5))
+    for d in range(100, 110):
         store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
     fixes = spark.createDataFrame([(bytearray(e), d, x) for (e, d), x in late.items()], "entity binary, day int, x bigint")
-    store.correct(fixes, 1, 125)
-    store.correct(fixes.limit(0), 2, 125)
-    for d in range(126, 128):
+    store.correct(fixes, 1, 109)
+    store.correct(fixes.limit(0), 2, 109)
+    for d in range(110, 112):
         store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
-    rows = store.state(range(100, 128)).collect()
+    rows = store.state(range(100, 112)).collect()
     all_amounts = Counter(amounts)
     all_amounts.update(late)
-    got = {(bytes(r.entity), r.day): (r.x_3, r.x_10) for r in rows}
+    got = {(bytes(r.entity), r.day): (r.x_2, r.x_5) for r in rows}
     for (e, d), totals in got.items():
-        assert totals == tuple(sum(all_amounts[e, x] for x in range(d - p + 1, d + 1)) for p in (3, 10))
+        assert totals == tuple(sum(all_amounts[e, x] for x in range(d - p + 1, d + 1)) for p in (2, 5))
     for (e, on), x in all_amounts.items():
-        assert x == 0 or on > 127 or (e, on) in got
-    assert {(bytes(r.entity), r.day) for r in rows if r.v == 1} == {(e, x) for (e, d) in late for x in range(d, min(d + 10, 126))}
+        assert x == 0 or on > 111 or (e, on) in got
+    assert {(bytes(r.entity), r.day) for r in rows if r.v == 1} == {(e, x) for (e, d) in late for x in range(d, min(d + 5, 110))}
 
 
 def test_per_member_results(facts):
