@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetcube.operators.facts import day_key, day_number, day_of_key, deliveries, hex_member, once
-from facetcube.storage import delete
 
 PERIODS = (7, 30)
+#: Files that a day's rows of a version are written to.
+FILES_A_DAY = 8
 
 
 def daily_amounts(facts: DataFrame, entity: Column, measures: Sequence[str]) -> DataFrame:
@@ -123,9 +124,16 @@ class RollingStore:
         a = self._read("amounts", self.amount_schema, days)
         return a.groupBy("entity", "day").agg(*(F.sum(m).alias(m) for m in self.measures))
 
-    def state(self, days: Sequence[int]) -> DataFrame:
-        """Latest totals on the days, with the version they have."""
-        return self._latest(self._read("state", self.state_schema, days))
+    def state(self, days: Sequence[int], below: int | None = None) -> DataFrame:
+        """Latest totals on the days, with the version they have; only of versions under ``below`` if given."""
+        s = self._read("state", self.state_schema, days)
+        return self._latest(s if below is None else s.filter(F.col("v") < below))
+
+    def _write_days(self, kind: str, rows: DataFrame, version: int) -> None:
+        """Write (entity, day, ...) as one version of many days in one job; partitions of the same days and version are replaced."""
+        files = F.pmod(F.xxhash64("entity"), F.lit(FILES_A_DAY))
+        out = rows.withColumn("v", F.lit(version)).repartition("day", files)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "v").parquet(f"{self.path}/{kind}")
 
     def advance(self, day: int, arrivals: DataFrame) -> None:
         """State of ``day`` from yesterday's, the day's arrivals (entity, measures) and the expiring amounts."""
@@ -141,24 +149,24 @@ class RollingStore:
         out.write.mode("overwrite").parquet(f"{self.path}/state/day={day}/v=0")
 
     def correct(self, corrections: DataFrame, version: int, last_day: int) -> None:
-        """Add late amounts (entity, day, measures) and write the affected dates up to ``last_day`` anew."""
+        """Add late amounts (entity, day, measures) and write the affected dates up to ``last_day`` anew.
+
+        Versions grow from correction to correction. What is read is older than
+        ``version``, so a correction that is run again replaces its own output.
+        """
         c = corrections.groupBy("entity", "day").agg(*(F.sum(m).cast("bigint").alias(m) for m in self.measures))
         span = c.agg(F.min("day"), F.max("day")).first()
         if span[0] is None:
             return
-        for d in range(span[0], span[1] + 1):
-            c.filter(F.col("day") == d).drop("day").write.mode("overwrite").parquet(f"{self.path}/amounts/day={d}/v={version}")
+        self._write_days("amounts", c, version)
         longest = max(self.periods)
         dates = F.sequence(F.col("day"), F.least(F.col("day") + longest - 1, F.lit(last_day)))
         spread = c.filter(F.col("day") <= last_day).select("entity", F.col("day").alias("_of"), F.explode(dates).alias("day"), *self.measures)
         added = spread.groupBy("entity", "day").agg(*(F.sum(F.when(F.col("day") - F.col("_of") < p, F.col(m)).otherwise(0)).alias(f"_{m}_{p}") for m in self.measures for p in self.periods))
-        old = self.state(range(span[0], min(span[1] + longest, last_day + 1)))
+        old = self.state(range(span[0], min(span[1] + longest, last_day + 1)), below=version)
         new = added.join(old, ["entity", "day"], "left").select("entity", "day", *((F.coalesce(t, F.lit(0)) + F.col(f"_{t}")).cast("bigint").alias(t) for t in self.total_names))
-        staged = f"{self.path}/staged-v={version}"
-        new.write.mode("overwrite").parquet(staged)
-        for d in range(span[0], min(span[1] + longest, last_day + 1)):
-            self.spark.read.parquet(staged).filter(F.col("day") == d).drop("day").write.mode("overwrite").parquet(f"{self.path}/state/day={d}/v={version}")
-        delete(self.spark, staged)
+        self._write_days("state", new, version)
+
 
 
 END_DAY = 20240330

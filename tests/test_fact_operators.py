@@ -95,6 +95,7 @@ def test_store_advances_and_corrects(spark, tmp_path):
         store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
     fixes = spark.createDataFrame([(bytearray(e), d, x) for (e, d), x in late.items()], "entity binary, day int, x bigint")
     store.correct(fixes, 1, 109)
+    store.correct(fixes, 1, 109)  # run again: nothing is added twice
     store.correct(fixes.limit(0), 2, 109)
     for d in range(110, 112):
         store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
