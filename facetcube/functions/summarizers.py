@@ -85,26 +85,28 @@ class Summarizer:
 
     # --- aggregation -----------------------------------------------------------------
 
-    def of_samples(self, x: Column, t: Column, anchor: Column, prefix: str = "") -> list[Column]:
-        """Aggregates of samples relative to ``anchor``, a time of the group that is not before its samples."""
-        ok = x.isNotNull() & t.isNotNull()
-        x, t = x.cast("double"), t.cast("double")
-        one = {"w": F.lit(1.0), "v": F.lit(1.0), "s": x, "u": x}
-        out = [F.sum(F.when(ok, one[f] * F.exp((t - anchor) / self.tau(f)))).alias(prefix + f) for f in self.sums]
-        out.append(F.max(F.when(ok, t)).alias(prefix + "t"))
-        return out + ([F.min(F.when(ok, t)).alias(prefix + "t0")] if self.rate else [])
-
-    def reanchor(self, anchor: Column, prefix: str = "") -> dict[str, Column]:
-        """Fields built relative to ``anchor``, relative to the state's own latest time."""
-        t = F.col(f"`{prefix}t`")
-        return {prefix + f: F.col(f"`{prefix}{f}`") * F.exp((anchor - t) / self.tau(f)) for f in self.sums}
-
-    def merged(self, latest: Column, prefix: str = "", weight: Column | None = None) -> list[Column]:
-        """Aggregates that add states decayed to ``latest``, the group's largest t. ``weight`` of -1 takes a state away."""
-        t = F.col(f"`{prefix}t`")
-        times = (lambda c: c) if weight is None else (lambda c: c * weight)
-        out = [F.sum(times(F.col(f"`{prefix}{f}`") * F.exp((t - latest) / self.tau(f)))).alias(prefix + f) for f in self.sums]
-        out.append(F.max(t).alias(prefix + "t"))
+    # as SQL text: a state has many fields, and one parsed expression costs the driver far less than a tree of columns
+
+    def _decay(self, f: str, by: str) -> str:
+        return f"exp(({by}) / {self.tau(f)!r}D)"
+
+    def of_samples(self, x: str, t: str, anchor: str, prefix: str = "") -> list[Column]:
+        """Aggregates of samples relative to ``anchor``, a time of the group that is not before its samples. Names of columns."""
+        x, t, anchor = f"cast(`{x}` as double)", f"cast(`{t}` as double)", f"`{anchor}`"
+        of = lambda e: f"case when {x} is not null and {t} is not null then {e} end"
+        out = [F.expr(f"sum({of(f'{x if f in "su" else "1D"} * {self._decay(f, f"{t} - {anchor}")}')})").alias(prefix + f) for f in self.sums]
+        out.append(F.expr(f"max({of(t)})").alias(prefix + "t"))
+        return out + ([F.expr(f"min({of(t)})").alias(prefix + "t0")] if self.rate else [])
+
+    def reanchor(self, anchor: str, prefix: str = "") -> dict[str, Column]:
+        """Fields built relative to the column ``anchor``, relative to the state's own latest time."""
+        return {prefix + f: F.expr(f"`{prefix}{f}` * {self._decay(f, f'`{anchor}` - `{prefix}t`')}") for f in self.sums}
+
+    def merged(self, latest: str, prefix: str = "", weight: Column | None = None) -> list[Column]:
+        """Aggregates that add states decayed to the column ``latest``, the group's largest t. ``weight`` of -1 takes a state away."""
+        shifted = {f: F.expr(f"`{prefix}{f}` * {self._decay(f, f'`{prefix}t` - `{latest}`')}") for f in self.sums}
+        out = [F.sum(e if weight is None else e * weight).alias(prefix + f) for f, e in shifted.items()]
+        out.append(F.max(f"`{prefix}t`").alias(prefix + "t"))
         return out + ([F.min(f"`{prefix}t0`").alias(prefix + "t0")] if self.rate else [])
 
     def summarize(self, df: DataFrame, keys: Sequence[str], x: Column, t: Column, name: str = "state") -> DataFrame:
@@ -117,15 +119,14 @@ class Summarizer:
         """
         keys = list(keys)
         samples = df.select(*keys, x.cast("double").alias("_x"), t.cast("double").alias("_t")).filter("_x is not null and _t is not null and not isnan(_x) and not isnan(_t)")
-        x, t = F.col("_x"), F.col("_t")
         if HOUR_MS / self.beta < 500:
-            anchor = (F.floor(t / HOUR_MS) + 1) * HOUR_MS
-            cells = samples.withColumn("_a", anchor).groupBy(*keys, "_a").agg(*self.of_samples(x, t, F.col("_a")))
-            cells = cells.withColumns(self.reanchor(F.col("_a")))
+            anchor = (F.floor(F.col("_t") / HOUR_MS) + 1) * HOUR_MS
+            cells = samples.withColumn("_a", anchor).groupBy(*keys, "_a").agg(*self.of_samples("_x", "_t", "_a"))
+            cells = cells.withColumns(self.reanchor("_a"))
             latest = F.max("t").over(Window.partitionBy(*keys))
-            out = cells.withColumn("_latest", latest).groupBy(*keys).agg(*self.merged(F.col("_latest")))
+            out = cells.withColumn("_latest", latest).groupBy(*keys).agg(*self.merged("_latest"))
         else:
-            out = samples.withColumn("_latest", F.max("_t").over(Window.partitionBy(*keys))).groupBy(*keys).agg(*self.of_samples(x, t, F.col("_latest")))
+            out = samples.withColumn("_latest", F.max("_t").over(Window.partitionBy(*keys))).groupBy(*keys).agg(*self.of_samples("_x", "_t", "_latest"))
         out = out.filter("t is not null")
         return out.select(*keys, F.struct(*self.fields).alias(name))
 

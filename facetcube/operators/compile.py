@@ -96,7 +96,7 @@ def merge_cells(cells: DataFrame, keys: list[str], cube: Cube, measures: Iterabl
             prefix = f"{name}__{s.name}__"
             if f"{prefix}t" in cells.columns and (wanted is None or s.name in wanted):
                 latest[f"_{prefix}latest"] = F.max(f"`{prefix}t`").over(Window.partitionBy(*keys))
-                aggs += s.summarizer.merged(F.col(f"`_{prefix}latest`"), prefix, weight)
+                aggs += s.summarizer.merged(f"_{prefix}latest", prefix, weight)
     if latest:
         cells = cells.withColumns(latest)
     aggs += list(extra)
@@ -123,8 +123,8 @@ def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list
         back: dict[str, Column] = {}
         for name, s in summaries:
             _check_decay(s)
-            prefix, anchor = f"{name}__{s.name}__", F.col(f"`_hour_{name}`")
-            aggs += s.summarizer.of_samples(F.col(f"`{name}__x`"), F.col(f"`{name}__t`"), anchor, prefix)
+            prefix, anchor = f"{name}__{s.name}__", f"_hour_{name}"
+            aggs += s.summarizer.of_samples(f"{name}__x", f"{name}__t", anchor, prefix)
             back |= s.summarizer.reanchor(anchor, prefix)
         cells = encoded.withColumns(hours).groupBy(*finest, *hours).agg(*aggs).withColumns(back)
         cells = merge_cells(cells, finest, cube, measures)
