@@ -29,17 +29,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates with their stated error, for all spans of 40 facts or more."""
+    """Estimates with their stated error, for all spans."""
     s = setsketch.SetSketch()
-    e = setsketch.distinct_members(_table(spark, sf_dir, "compiler_input"), s)
+    e = setsketch.distinct_members(_table(spark, sf_dir, "compiler_input"), s, least=1)
     return e.select(F.col("grp").alias("chardim1"), "span_key", "n", "estimate", (F.col("estimate") * s.error).alias("standard_error"))
 
 
 def p3_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection and Jaccard similarity of consecutive months of each charDim1 member."""
-    from facetcube.storage import materialize
-
-    return setsketch.joint_months(materialize(setsketch.distinct_members(_table(spark, sf_dir, "compiler_input")), "spans"))
+    return setsketch.joint_months(setsketch.distinct_members(_table(spark, sf_dir, "compiler_input"), least=1))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetcube.llm.arrow import binary_rows, chunks, column, ragged, whole_groups
+from facetcube.llm.arrow import binary_rows, chunks, column, ragged, runs, whole_groups
 from facetcube.operators.facts import char_member, day_key, day_number, hex_member, once
 from facetcube.storage import materialize
 
@@ -154,7 +154,7 @@ SPANS = "grp string, span string, span_key int, n bigint, estimate double, regis
 
 def merge_spans(batches: Iterator[pa.RecordBatch], sketch: SetSketch, least: int) -> Iterator[pa.RecordBatch]:
     """Sketches of days, months and all days from partial states sorted by (grp, day), for spans of ``least`` rows or more."""
-    for t in whole_groups(batches, "grp", 1 << 16):
+    for t in whole_groups(batches, "grp", 1 << 12):  # while registers are made, a span takes some tens of bytes for each
         grp, day, n = column(t, "grp"), column(t, "day").to_numpy(), column(t, "n").to_numpy()
         data, h0, h1 = binary_rows(column(t, "hashes"))
         wide, r0, r1 = binary_rows(column(t, "registers"))
@@ -183,8 +183,9 @@ def merge_spans(batches: Iterator[pa.RecordBatch], sketch: SetSketch, least: int
         for span, keys in (("day", days), ("month", days // 100), ("all", days * 0)):
             change = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (keys[1:] != keys[:-1])])
             merged, rows_in = np.maximum.reduceat(regs, change, axis=0), np.add.reduceat(count, change)
-            ok = np.flatnonzero(rows_in >= least)
-            if len(ok):
+            every = np.flatnonzero(rows_in >= least)
+            for i in range(0, len(every), 4096):  # the estimates take eight bytes a register
+                ok = every[i : i + 4096]
                 at, m = change[ok], merged[ok]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(g[at])), pa.array([span] * len(ok)), pa.array(keys[at], pa.int32()), pa.array(rows_in[ok]), pa.array(sketch.cardinality(m)), pa.array([x.tobytes() for x in m], pa.binary())], ["grp", "span", "span_key", "n", "estimate", "registers"])
 
@@ -241,14 +242,19 @@ def narrow_and_wide(facts: DataFrame, narrow: float = 0.15, wide: float = 0.85,
 
 def joint_months(spans: DataFrame, sketch: SetSketch = SetSketch()) -> DataFrame:
     """Union, intersection and Jaccard similarity of each group's sets in consecutive months."""
-    m = spans.filter("span = 'month'").select("grp", "span_key", "registers")
-    following = F.when(F.col("span_key") % 100 == 12, F.col("span_key") + 89).otherwise(F.col("span_key") + 1)
-    pairs = m.select("grp", following.alias("next_key"), F.col("span_key").alias("month"), F.col("registers").alias("u")).join(m.select("grp", F.col("span_key").alias("next_key"), F.col("registers").alias("v")), ["grp", "next_key"])
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    months = spans.filter("span = 'month'").select("grp", "span_key", "registers").repartition(parts, "grp").sortWithinPartitions("grp", "span_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, 4096):
-            u, v = (np.frombuffer(b"".join(column(t, c).to_pylist()), sketch.kind).reshape(-1, sketch.m) for c in ("u", "v"))
+        for t in whole_groups(batches, "grp", 4096):
+            group, month = runs(column(t, "grp")), column(t, "span_key").to_numpy()
+            following = np.where(month % 100 == 12, month + 89, month + 1)
+            first = np.flatnonzero((group[1:] == group[:-1]) & (month[1:] == following[:-1]))
+            if not len(first):
+                continue
+            data, start, _ = binary_rows(column(t, "registers"))
+            u, v = (data[start[i][:, None] + np.arange(sketch.width)].view(sketch.kind) for i in (first, first + 1))
             r = sketch.joint(u, v)
-            yield pa.RecordBatch.from_arrays([column(t, "grp"), column(t, "month"), *(pa.array(r[k]) for k in ("union", "intersection", "jaccard", "jaccard_error"))], ["grp", "month", "union", "intersection", "jaccard", "jaccard_error"])
+            yield pa.RecordBatch.from_arrays([column(t, "grp").take(pa.array(first)), pa.array(month[first]), *(pa.array(r[k]) for k in ("union", "intersection", "jaccard", "jaccard_error"))], ["grp", "month", "union", "intersection", "jaccard", "jaccard_error"])
 
-    return pairs.select("grp", "month", "u", "v").mapInArrow(run, "grp string, month int, `union` double, intersection double, jaccard double, jaccard_error double")
+    return months.mapInArrow(run, "grp string, month int, `union` double, intersection double, jaccard double, jaccard_error double")
