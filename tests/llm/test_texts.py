@@ -156,6 +156,32 @@ def test_less_is_not_found(items, index):
         assert found(index, [FILLER + t + " " + FILLER for t in texts]) == [set()] * 4
 
 
+def two_fifths(words, share, edited, rng):
+    """Two fifths of the words in stretches of ``share`` and the rest, far apart, each sixth word changed if ``edited``."""
+    n = len(words)
+    k = -(-2 * n // 5)
+    first = round(k * share)
+    s = rng.randrange(n - k + 1)
+    u = rng.randrange(s + first, n - (k - first) + 1)
+    at, left = rng.randrange(6), k // 6
+    parts = []
+    for x in (words[s : s + first], words[u : u + k - first]):
+        for i in range(len(x)):
+            at += 1
+            if edited and at % 6 == 0 and left:
+                x[i], left = rng.choice(["ladder", "copper", "device"]), left - 1
+        parts.append(" ".join(x))
+    return f"{FILLER * 14}{parts[0]} {FILLER * 14}{parts[1]} {FILLER * 14}"
+
+
+@pytest.mark.parametrize(("share", "edited", "least"), [(1, False, 1), (0.5, False, 1), (0.75, False, 1), (0.8, False, 1), (0.2, False, 1), (1, True, 0.9), (0.5, True, 0.85), (0.75, True, 0.75), (0.8, True, 0.7)])
+def test_two_fifths_are_found(items, index, share, edited, least):
+    rng, some = random.Random(5), sorted(items.items())[::4]
+    got = found(index, [two_fifths(text.split(), share, edited, rng) for _, text in some])
+    assert all(g <= {i} for (i, _), g in zip(some, got, strict=True))
+    assert sum(map(len, got)) >= least * len(some)
+
+
 def test_pruning_loses_no_candidate(index):
     texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()[:300]
     c = Codes(pa.array(texts, pa.string()))
