@@ -4,18 +4,21 @@ Values are encoded by an order-preserving code with a bounded relative error
 (a few leading bits and the exponent). For each binary resolution of the code
 (nodes of 1, 2, 4, ... codes) a group has one signed Count-sketch: every node
 adds its count, times a random sign, to one cell in each of ``depth`` rows; the
-median over the rows estimates a node's count. Resolutions with few nodes are
-plain counters. A percentile descends the levels: at each node the estimated
-count of the left half says which half the rank falls into.
+median over the rows estimates a node's count. A resolution with no more nodes
+than a sketch has cells is kept as plain counters, one a node. A percentile
+descends the levels: at each node the estimated count of the left half says
+which half the rank falls into.
 
 All of it is linear: states of splits, batches or days are added, and a
-deletion is a count of -1. A group with few different codes is kept as its
-(code, count) pairs, which is the same information in less room and exact; it
-turns into a sketch by adding the pairs to one.
+deletion is a count of -1. A state travels as its (code, count) pairs while
+these take less room than the counters. That is an encoding only: before a
+percentile is read the pairs are added to a sketch, and the answer is the
+sketch's, whatever the group's size.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -25,19 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetcube.llm.arrow import binary_rows, chunks, column, ragged, runs, whole_groups
+from facetcube.llm.arrow import binary_rows, chunks, column, folded, ragged, runs
 from facetcube.operators.facts import hex_member, once
 from facetcube.storage import materialize
 
 
+@functools.cache
+def _hashes(level: int, nodes: int, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and sign of every node of a level in each row; fixed by level, width and depth, so that states can be added."""
+    rng = np.random.default_rng([level, width, depth])
+    mult, plus = rng.integers(1, 1 << 31, (2, depth, 2), dtype=np.int64)
+    h = (np.arange(nodes)[:, None, None] * mult + plus) % ((1 << 31) - 1)
+    return h[:, :, 0] % width, np.where((h[:, :, 1] >> 7) & 1, 1, -1)
+
+
 @dataclass(frozen=True)
 class Dyadic:
-    """Parameters: leading bits kept of a value, cells a row, rows; ``pairs``: most pairs a group keeps before it is sketched."""
+    """Parameters: leading bits kept of a value, cells a row, rows; ``sigmas`` of a rank's stated error."""
 
     bits: int = 6
-    width: int = 64
+    width: int = 512
     depth: int = 5
-    pairs: int = 128
+    sigmas: float = 4.0
     levels: int = field(init=False, default=0)
     exact_level: int = field(init=False, default=0)
 
@@ -52,10 +64,20 @@ class Dyadic:
         """Code of the value 0: the middle."""
         return 1 << self.levels - 1
 
+    @property
+    def cells(self) -> int:
+        """Counters of the sketched levels."""
+        return self.exact_level * self.width * self.depth
+
     @property
     def size(self) -> int:
         """Counters of a sketched group."""
-        return self.exact_level * self.width * self.depth + (1 << self.levels - self.exact_level)
+        return self.cells + (1 << self.levels - self.exact_level)
+
+    @property
+    def pairs(self) -> int:
+        """As many (code, count) pairs as take the room of the counters."""
+        return self.size * 8 // 12
 
     @property
     def value_error(self) -> float:
@@ -83,75 +105,69 @@ class Dyadic:
         v = (c - (e << self.bits)) << e
         return np.where(codes < self.zero, -v, v)
 
-    def _cells(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and sign of the nodes in each row of a level's sketch; fixed by level and row, so that states can be added."""
-        rng = np.random.default_rng([level, self.width, self.depth])
-        mult, plus = rng.integers(1, 1 << 31, (2, self.depth, 2), dtype=np.int64)
-        h = (nodes[:, None, None] * mult + plus) % ((1 << 31) - 1)
-        cell = h[:, :, 0] % self.width
-        sign = np.where((h[:, :, 1] >> 7) & 1, 1, -1)
+    def _level(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counter (in a group's row) and sign of every node of a sketched level."""
+        cell, sign = _hashes(level, 1 << self.levels - level, self.width, self.depth)
         return cell + (level * self.depth + np.arange(self.depth)) * self.width, sign
 
-    def sketch(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Counters of a group with these codes: the sketches of the fine levels, then the plain counters."""
-        out = np.zeros(self.size, np.int64)
+    def add(self, sketches: np.ndarray, group: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of codes to the rows ``group`` of ``sketches``."""
+        flat, base = sketches.reshape(-1), group * self.size
         for level in range(self.exact_level):
-            cell, sign = self._cells(level, codes >> level)
-            np.add.at(out, cell.ravel(), (sign * counts[:, None]).ravel())
-        base = self.exact_level * self.width * self.depth
-        np.add.at(out, base + (codes >> self.exact_level), counts)
-        return out
-
-    def node_count(self, sketch: np.ndarray, level: int, node: int) -> float:
-        """Estimated count of a node."""
-        base = self.exact_level * self.width * self.depth
-        if level >= self.exact_level:
-            span = 1 << level - self.exact_level
-            return float(sketch[base + node * span : base + (node + 1) * span].sum())
-        cell, sign = self._cells(level, np.array([node]))
-        return float(np.median(sketch[cell[0]] * sign[0]))
-
-    def invert(self, sketch: np.ndarray, rank: float) -> int:
-        """Code at a rank (counted from 1)."""
-        node = 0
-        for level in range(self.levels - 1, -1, -1):
-            left = self.node_count(sketch, level, 2 * node)
+            cell, sign = self._level(level)
+            node = codes >> level
+            np.add.at(flat, (base[:, None] + cell[node]).ravel(), (sign[node] * counts[:, None]).ravel())
+        np.add.at(flat, base + self.cells + (codes >> self.exact_level), counts)
+
+    def invert(self, sketches: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Code at a rank (counted from 1) of each row of ``sketches``."""
+        own = np.arange(len(sketches))
+        plain = np.cumsum(sketches[:, self.cells :], axis=1)  # the levels of plain counters in one step
+        node = np.minimum((plain < rank[:, None]).sum(axis=1), plain.shape[1] - 1)
+        rank = rank - np.where(node > 0, plain[own, node - 1], 0)
+        for level in range(self.exact_level - 1, -1, -1):
+            cell, sign = self._level(level)
             node = 2 * node
-            if rank > left:
-                rank -= max(left, 0.0)
-                node += 1
-        return min(node, (1 << self.levels) - 1)
+            left = np.median(sketches[own[:, None], cell[node]] * sign[node], axis=1)
+            right = rank > left
+            rank = np.where(right, rank - np.maximum(left, 0), rank)
+            node = node + right
+        return np.minimum(node, (1 << self.levels) - 1)
+
+    def rank_error(self, sketches: np.ndarray) -> np.ndarray:
+        """Bound of the error of a rank in each row: every sketched level may be off by its norm over the root of the width.
 
-    def rank_error(self, sketch: np.ndarray, sigmas: float = 3.0) -> float:
-        """Error bound of a rank: every sketched level may be off by its norm over the root of the width."""
-        cells = sketch[: self.exact_level * self.width * self.depth].reshape(self.exact_level, self.depth, self.width).astype(np.float64)
-        f2 = np.median((cells**2).sum(axis=2), axis=1)
-        return float(sigmas * np.sqrt((f2 / self.width).sum() / self.depth))
+        Counts are whole numbers: below 1, no rank is off.
+        """
+        cells = sketches[:, : self.cells].reshape(len(sketches), self.exact_level, self.depth, self.width).astype(np.float64)
+        f2 = np.median((cells**2).sum(axis=3), axis=2)
+        return np.floor(self.sigmas * np.sqrt((f2 / self.width).sum(axis=1) / self.depth))
 
 
 STATE = "grp binary, series int, codes array<int>, counts array<bigint>, sketch binary"
 
 
-def _states(d: Dyadic, grp: pa.Array, group: np.ndarray, codes: np.ndarray, counts: np.ndarray, series: np.ndarray, sketches: dict[int, np.ndarray]) -> pa.RecordBatch:
-    """States of groups from sorted (group, code, count); groups with many codes, or a sketch already, are sketched."""
+def _states(d: Dyadic, grp: pa.Array, group: np.ndarray, codes: np.ndarray, counts: np.ndarray, series: np.ndarray, sketches: dict[int, np.ndarray]) -> pa.Table:
+    """States of groups from sorted (group, code, count); those with too many pairs, or with a sketch already, become counters."""
     n = len(series)
     sizes = np.bincount(group, minlength=n)
-    starts = np.r_[0, np.cumsum(sizes)]
-    for g in np.flatnonzero(sizes > d.pairs):
-        own = slice(starts[g], starts[g + 1])
-        sketches[g] = sketches.get(g, 0) + d.sketch(codes[own], counts[own])
-    for g in sketches:
-        if sizes[g] and sizes[g] <= d.pairs:
-            own = slice(starts[g], starts[g + 1])
-            sketches[g] = sketches[g] + d.sketch(codes[own], counts[own])
-    wide = np.zeros(n, bool)
+    wide = sizes > d.pairs
     wide[list(sketches)] = True
-    keep = ~wide[group]
+    at = np.flatnonzero(wide)
+    rows = np.zeros((len(at), d.size), np.int64)
+    for i, g in enumerate(at):
+        if g in sketches:
+            rows[i] = sketches[g]
+    dense = wide[group]
+    d.add(rows, (np.cumsum(wide) - 1)[group[dense]], codes[dense], counts[dense])
     ends = pa.array(np.r_[0, np.cumsum(np.where(wide, 0, sizes))].astype(np.int32))
-    return pa.RecordBatch.from_arrays([
+    binary: list[bytes | None] = [None] * n
+    for i, g in enumerate(at):
+        binary[g] = rows[i].tobytes()
+    return pa.table([
         grp, pa.array(series.astype(np.int32)),
-        pa.ListArray.from_arrays(ends, pa.array(codes[keep].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts[keep].astype(np.int64))),
-        pa.array([sketches[g].tobytes() if g in sketches else None for g in range(n)], pa.binary()),
+        pa.ListArray.from_arrays(ends, pa.array(codes[~dense].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts[~dense].astype(np.int64))),
+        pa.array(binary, pa.binary()),
     ], ["grp", "series", "codes", "counts", "sketch"])
 
 
@@ -171,25 +187,29 @@ def split_states(batches: Iterator[pa.RecordBatch], d: Dyadic) -> Iterator[pa.Re
         key = coded.indices.to_numpy().astype(np.int64) << 8 | column(t, "series").to_numpy().astype(np.int64)
         present, group = np.unique(key, return_inverse=True)
         group, codes, counts = _summed(group, d.encode(column(t, "value").to_numpy()), column(t, "weight").to_numpy(), d.levels)
-        yield _states(d, coded.dictionary.take(pa.array(present >> 8)), group, codes, counts, present & 255, {})
+        yield from _states(d, coded.dictionary.take(pa.array(present >> 8)), group, codes, counts, present & 255, {}).to_batches()
 
 
-def merge_states(batches: Iterator[pa.RecordBatch], d: Dyadic) -> Iterator[pa.RecordBatch]:
+def _merged(t: pa.Table, d: Dyadic) -> pa.Table:
     """States sorted by (grp, series) added up: one row a group and series."""
-    for t in whole_groups(batches, "grp", 1 << 15):
-        grp, series = column(t, "grp"), column(t, "series").to_numpy()
-        key = runs(grp) << 8 | series
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-        lists, numbers = column(t, "codes"), column(t, "counts")
-        owner = np.repeat(group, lists.value_lengths().to_numpy())
-        g, codes, counts = _summed(owner, lists.flatten().to_numpy().astype(np.int64), numbers.flatten().to_numpy(), d.levels)
-        sketches: dict[int, np.ndarray] = {}
-        data = column(t, "sketch")
-        for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
-            x = np.frombuffer(data[i].as_py(), np.int64)
-            sketches[group[i]] = sketches[group[i]] + x if group[i] in sketches else x
-        yield _states(d, grp.take(pa.array(first)), g, codes, counts, series[first], sketches)
+    grp, series = column(t, "grp"), column(t, "series").to_numpy()
+    key = runs(grp) << 8 | series
+    new = np.r_[True, key[1:] != key[:-1]]
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    lists, numbers = column(t, "codes"), column(t, "counts")
+    owner = np.repeat(group, lists.value_lengths().to_numpy())
+    g, codes, counts = _summed(owner, lists.flatten().to_numpy().astype(np.int64), numbers.flatten().to_numpy(), d.levels)
+    sketches: dict[int, np.ndarray] = {}
+    data = column(t, "sketch")
+    for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
+        x = np.frombuffer(data[i].as_py(), np.int64)
+        sketches[group[i]] = sketches[group[i]] + x if group[i] in sketches else x
+    return _states(d, grp.take(pa.array(first)), g, codes, counts, series[first], sketches)
+
+
+def merge_states(batches: Iterator[pa.RecordBatch], d: Dyadic) -> Iterator[pa.RecordBatch]:
+    """States sorted by (grp, series) added up while they are read: a group holds one state, however many come in."""
+    return folded(batches, lambda t: _merged(t, d))
 
 
 def states(rows: DataFrame, d: Dyadic = Dyadic()) -> DataFrame:
@@ -202,10 +222,16 @@ def states(rows: DataFrame, d: Dyadic = Dyadic()) -> DataFrame:
     return add_states(rows.select("grp", "series", "value", "weight").dropna().mapInArrow(lambda it: split_states(it, d), STATE), d)
 
 
-def add_states(partial: DataFrame, d: Dyadic = Dyadic()) -> DataFrame:
-    """States of separate inputs (union them first) added up for each (grp, series)."""
-    parts = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(parts, "grp").sortWithinPartitions("grp", "series").mapInArrow(lambda it: merge_states(it, d), STATE)
+def add_states(partial: DataFrame, d: Dyadic = Dyadic(), salts: int = 16) -> DataFrame:
+    """States of separate inputs (union them first) added up for each (grp, series).
+
+    In two steps: the states of a group are first added by ``salts`` tasks, by
+    the split that they come from, and the few that are left by one.
+    """
+    salted = partial.withColumn("_salt", F.spark_partition_id() % salts)
+    some = salted.repartition("grp", "_salt").drop("_salt").sortWithinPartitions("grp", "series").mapInArrow(lambda it: merge_states(it, d), STATE)
+    parts = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # states are small, but take work: not to be coalesced
+    return some.repartition(parts, "grp").sortWithinPartitions("grp", "series").mapInArrow(lambda it: merge_states(it, d), STATE)
 
 
 def percentiles(merged: DataFrame, ps: Sequence[int], d: Dyadic = Dyadic()) -> DataFrame:
@@ -213,40 +239,26 @@ def percentiles(merged: DataFrame, ps: Sequence[int], d: Dyadic = Dyadic()) -> D
 
     ``p<p>`` is the smallest value that at least p % of the values do not
     exceed, up to the relative error ``d.value_error``; ``lo`` and ``hi`` bound
-    it when the rank is off by ``rank_error`` (0 for groups kept as pairs).
-    Groups whose values have all been deleted give no row.
+    it when the rank is off by ``rank_error``. ``n`` is exact. Groups whose
+    values have all been deleted give no row.
     """
     names = [f"{k}{p}" for p in ps for k in ("p", "lo", "hi")]
+    at_once = max(1, (1 << 25) // (8 * d.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, 1 << 14):
-            lists, counts = column(t, "codes"), column(t, "counts").flatten().to_numpy()
-            codes = lists.flatten().to_numpy().astype(np.int64)
-            sizes = lists.value_lengths().to_numpy()
-            run_up = np.cumsum(counts)
-            before = np.r_[0, run_up][np.cumsum(sizes) - sizes]
-            total = np.r_[0, run_up][np.cumsum(sizes)] - before
-            error = np.zeros(t.num_rows)
-            sketch = column(t, "sketch")
-            wide = {i: np.frombuffer(sketch[i].as_py(), np.int64) for i in np.flatnonzero(sketch.is_valid().to_numpy(zero_copy_only=False))}
-            out = {}
-            for p in ps:
-                rank = np.maximum(-(-p * total // 100), 1)
-                at = np.minimum(np.searchsorted(run_up, before + rank), max(len(codes) - 1, 0))
-                c = codes[at] if len(codes) else np.zeros(t.num_rows, np.int64)
-                out[f"p{p}"] = [c.copy(), c.copy(), c.copy()]
-            for i, s in wide.items():
-                total[i] = s[d.exact_level * d.width * d.depth :].sum()
-                error[i] = d.rank_error(s)
-                for p in ps:
-                    rank = max(-(-p * total[i] // 100), 1)
-                    for j, r in enumerate((rank, max(rank - error[i], 1), min(rank + error[i], total[i]))):
-                        out[f"p{p}"][j][i] = d.invert(s, r)
+        for t in chunks(batches, at_once, exactly=True):
+            lists = column(t, "codes")
+            sketches = np.zeros((t.num_rows, d.size), np.int64)
+            given = column(t, "sketch")
+            for i in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)):
+                sketches[i] = np.frombuffer(given[i].as_py(), np.int64)
+            d.add(sketches, np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64), column(t, "counts").flatten().to_numpy())
+            total, error = sketches[:, d.cells :].sum(axis=1), d.rank_error(sketches)
             values = []
             for p in ps:
-                mid, lo, hi = out[f"p{p}"]
-                low, next_low = d.lowest(lo), d.lowest(hi + 1)
-                values += [d.lowest(mid), low, np.maximum(next_low - 1, d.lowest(hi))]
+                rank = np.maximum(-(-p * total // 100), 1)
+                mid, lo, hi = (d.invert(sketches, r) for r in (rank, np.maximum(rank - error, 1), np.minimum(rank + error, total)))
+                values += [d.lowest(mid), d.lowest(lo), np.maximum(d.lowest(hi + 1) - 1, d.lowest(hi))]
             b = pa.RecordBatch.from_arrays([column(t, "grp"), column(t, "series"), pa.array(total), pa.array(error), *map(pa.array, values)], ["grp", "series", "n", "rank_error", *names])
             yield b.filter(pa.array(total > 0))
 
@@ -290,25 +302,41 @@ def value_rows(facts: DataFrame, cells: DataFrame) -> DataFrame:
     return fact_values(facts).unionByName(cell_values(cells))
 
 
+def exact_percentiles(rows: DataFrame, ps: Sequence[int]) -> DataFrame:
+    """n and ``p<p>`` of each (grp, series), counted value by value."""
+    counted = rows.groupBy("grp", "series", "value").agg(F.sum("weight").alias("x")).filter("x != 0")
+    own = Window.partitionBy("grp", "series")
+    counted = counted.withColumn("up_to", F.sum("x").over(own.orderBy("value"))).withColumn("n", F.sum("x").over(own))
+    at = lambda p: F.min(F.when(F.col("up_to") * 100 >= F.col("n") * p, F.col("value"))).alias(f"p{p}")
+    return counted.groupBy("grp", "series", "n").agg(*map(at, ps))
+
+
+def judged(facts: DataFrame, cells: DataFrame, least: int = 30, factor: int = 5, d: Dyadic = Dyadic()) -> DataFrame:
+    """What the sketches say of each group that may have a heavy tail: grp, series, sure (true: it has one; false: too near to the limit).
+
+    Groups that have none within the sketch's stated errors are left out.
+    """
+    est = percentiles(states(value_rows(facts, cells), d), (50, 90), d).filter(F.col("n") >= least)
+    can = (F.col("hi50") >= 1) & (F.col("hi90") >= factor * F.greatest("lo50", F.lit(1)))
+    sure = (F.col("lo50") >= 1) & (F.col("lo90") >= factor * F.col("hi50"))
+    return est.filter(can).select("grp", "series", sure.alias("sure"))
+
+
 def heavy_tails(facts: DataFrame, cells: DataFrame, least: int = 30, factor: int = 5, d: Dyadic = Dyadic()) -> DataFrame:
     """Groups with a median of 1 or more and a 90th percentile of ``factor`` times the median or more.
 
-    The sketches name every group that can have them within its stated errors;
-    those few are then counted value by value, in a second pass over their rows.
+    The rows come from the sketches; only groups whose percentiles the stated
+    errors leave on both sides of a limit are counted value by value, in a
+    second pass over their rows.
     """
-    est = percentiles(states(value_rows(facts, cells), d), (50, 90), d)
-    can = est.filter((F.col("n") >= least) & (F.col("hi50") >= 1) & (F.col("hi90") >= factor * F.greatest("lo50", F.lit(1))))
-    can = materialize(can.select("grp", "series"), "heavy-tails")
-    keys = can.select("grp").distinct()
-    raw_facts = facts.withColumn("_g", hex_member(F.col("dim2"))).join(keys.withColumnRenamed("grp", "_g"), "_g", "left_semi")
-    raw_cells = cells.withColumn("_g", hex_member(F.unhex("dim1"))).join(keys.withColumnRenamed("grp", "_g"), "_g", "left_semi")
-    counted = value_rows(raw_facts, raw_cells).groupBy("grp", "series", "value").agg(F.sum("weight").alias("x")).join(can, ["grp", "series"], "left_semi")
-    own = Window.partitionBy("grp", "series")
-    counted = counted.withColumn("up_to", F.sum("x").over(own.orderBy("value"))).withColumn("n", F.sum("x").over(own))
-    at = lambda p: F.min(F.when(F.col("up_to") * 100 >= F.col("n") * p, F.col("value"))).alias(f"p{p}")
-    exact = counted.groupBy("grp", "series", "n").agg(at(50), at(90))
-    hit = exact.filter((F.col("n") >= least) & (F.col("p50") >= 1) & (F.col("p90") >= factor * F.col("p50")))
-    return named(hit).select("src", "item", "measure")
+    can = materialize(judged(facts, cells, least, factor, d), "heavy-tails")
+    near = can.filter("not sure").select("grp", "series")
+    keys = near.select(F.col("grp").alias("_g")).distinct()
+    raw_facts = facts.withColumn("_g", hex_member(F.col("dim2"))).join(keys, "_g", "left_semi")
+    raw_cells = cells.withColumn("_g", hex_member(F.unhex("dim1"))).join(keys, "_g", "left_semi")
+    exact = exact_percentiles(value_rows(raw_facts, raw_cells), (50, 90)).join(near, ["grp", "series"], "left_semi")
+    exact = exact.filter((F.col("n") >= least) & (F.col("p50") >= 1) & (F.col("p90") >= factor * F.col("p50")))
+    return named(can.filter("sure").select("grp", "series").unionByName(exact.select("grp", "series"))).select("src", "item", "measure")
 
 
 def named(df: DataFrame) -> DataFrame:
