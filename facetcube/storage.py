@@ -9,20 +9,38 @@ an executor's local disk.
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import tempfile
 import uuid
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, tuple[SparkSession, str]] = {}
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the same version."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a temporary one only where it is unset (tests, single machine)."""
+    """The shared folder of the session.
+
+    Where it is unset, a local master gets a temporary one. On a cluster that
+    is an error: each machine would write to a disk of its own, and what is
+    read back would be a part of the result.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_already.get() if set_already.isDefined() else "file://" + tempfile.mkdtemp(prefix="facetcube-")
+        if set_already.isDefined():
+            at = set_already.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            at = "file://" + tempfile.mkdtemp(prefix="facetcube-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -101,3 +119,40 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     if fs.exists(p):
         fs.delete(p, False)
     fs.rename(beside, p)
+
+
+#: Published versions that are kept.
+KEPT = 10
+
+
+def published(spark: SparkSession, folder: str, stem: str) -> tuple[int, Any]:
+    """The newest published version of a small document and its number; (0, None) if there is none."""
+    pattern = re.compile(re.escape(stem) + r"-(\d+)\.json")
+    for n in sorted((int(m[1]) for x in names(spark, folder) if (m := pattern.fullmatch(x))), reverse=True):
+        try:
+            return n, json.loads(read_text(spark, f"{folder}/{stem}-{n:08d}.json") or "")
+        except json.JSONDecodeError:  # its writer is not through, or died: the version before it counts
+            continue
+    return 0, None
+
+
+def publish(spark: SparkSession, folder: str, stem: str, n: int, document: Any) -> None:
+    """Publish version ``n``, which follows the one that was read. Readers see the old version or the new one, never none.
+
+    The file is created only if it is absent: of two writers that followed the
+    same version one gets a ``Conflict``.
+    """
+    path = f"{folder}/{stem}-{n:08d}.json"
+    fs, p = _fs(spark, path)
+    if fs.exists(p) and published(spark, folder, stem)[0] < n:  # half a file of a writer that died
+        fs.delete(p, False)
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError as e:
+        raise Conflict(path) from e
+    try:
+        stream.write(bytearray(json.dumps(document, indent=1, sort_keys=True).encode()))
+    finally:
+        stream.close()
+    if n > KEPT:
+        delete(spark, f"{folder}/{stem}-{n - KEPT:08d}.json")

@@ -81,33 +81,130 @@ def test_surges(facts):
 
 
 def test_versions_mark_what_corrections_touch(facts):
-    s = rolling.member_segments(facts)
-    assert {r.version for r in s.collect()} == {0, 1}
-    assert s.filter("version = 0 and (impCnt_30 != v0_impCnt_30 or click_7 != v0_click_7)").count() == 0
-
-
-def test_store_advances_and_corrects(spark, tmp_path):
-    rng = random.Random(2)
-    amounts = {(e, d): rng.randrange(9) for e in (b"a", b"b", b"c") for d in range(100, 120) if rng.random() < 0.4}
-    late = {(b"a", 105): 5, (b"c", 103): 2, (b"z", 106): 4}
-    store = rolling.RollingStore(spark, "file://" + str(tmp_path / "s"), ["x"], (2, 5))
-    for d in range(100, 110):
-        store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
-    fixes = spark.createDataFrame([(bytearray(e), d, x) for (e, d), x in late.items()], "entity binary, day int, x bigint")
-    store.correct(fixes, 1, 109)
-    store.correct(fixes, 1, 109)  # run again: nothing is added twice
-    store.correct(fixes.limit(0), 2, 109)
-    for d in range(110, 112):
-        store.advance(d, spark.createDataFrame([(bytearray(e), x) for (e, on), x in amounts.items() if on == d], "entity binary, x bigint"))
-    rows = store.state(range(100, 112)).collect()
-    all_amounts = Counter(amounts)
-    all_amounts.update(late)
-    got = {(bytes(r.entity), r.day): (r.x_2, r.x_5) for r in rows}
-    for (e, d), totals in got.items():
-        assert totals == tuple(sum(all_amounts[e, x] for x in range(d - p + 1, d + 1)) for p in (2, 5))
-    for (e, on), x in all_amounts.items():
-        assert x == 0 or on > 111 or (e, on) in got
-    assert {(bytes(r.entity), r.day) for r in rows if r.v == 1} == {(e, x) for (e, d) in late for x in range(d, min(d + 5, 110))}
+    late, dates = defaultdict(list), defaultdict(lambda: [0, 0])
+    end = day_of_key(20240330)
+    first_delivery = {}
+    for r in some_facts():
+        if r[0] is not None and r[8] is not None:
+            first_delivery[r[0]] = min(r[8], first_delivery.get(r[0], r[8]))
+    import datetime
+
+    for r in deduped(some_facts()):
+        at = first_delivery.get(r[0], r[8])
+        if member(r[1]) and r[4] and at and (at - datetime.datetime(1970, 1, 1)).days > r[4] // 86_400_000:
+            late[member(r[1]).hex().upper()].append((r[4] // 86_400_000, r[5] or 0, r[6] or 0))
+    for m, rows in late.items():
+        for d, i, c in rows:
+            for x in range(d, min(d + 30, end + 1)):
+                dates[m, x][0] += i
+                dates[m, x][1] += c
+    whole = brute_rolling(some_facts(), end)
+    expected = {(m, x): (1, whole[m, x][1], whole[m, x][1] - i, whole[m, x][3], whole[m, x][3] - c) for (m, x), (i, c) in dates.items()}
+    assert {(r.dim1, day_of_key(r.on_day)): (r.version, r.imp_30, r.v0_imp_30, r.click_30, r.v0_click_30) for r in rolling.corrected_totals(facts).collect()} == expected and expected
+
+
+class Book:
+    """Brute force beside a store of one measure: amounts by entity and day, as they stand."""
+
+    def __init__(self, spark, path, days=(100, 120)):
+        rng = random.Random(2)
+        self.spark = spark
+        self.amounts = {(e, d): rng.randrange(9) for e in (b"a", b"b", b"c") for d in range(*days) if rng.random() < 0.4}
+        self.store = rolling.RollingStore(spark, "file://" + str(path), ["x"], (2, 5))
+        self.fixes = {}
+
+    def rows(self, amounts):
+        return self.spark.createDataFrame([(bytearray(e), d, 1, x) for (e, d), x in amounts.items()], "entity binary, day int, n bigint, x bigint")
+
+    def advance(self, first, last):
+        self.store.advance(first, last, self.rows({k: x for k, x in self.amounts.items() if first <= k[1] <= last}))
+        self.last = last
+
+    def correct(self, name, late):
+        self.store.correct(name, self.rows(late))
+        self.fixes[name] = late
+
+    def check(self, versions=None):
+        total, n = Counter(), Counter()
+        for amounts in (self.amounts, *self.fixes.values()):
+            for (e, d), x in amounts.items():
+                total[e, d] += x
+                n[e, d] += 1
+        expected = {}
+        for e in {e for e, _ in n}:
+            for d in range(100, self.last + 1):
+                if sum(n[e, x] for x in range(d - 4, d + 1)):
+                    expected[e, d] = tuple(sum(c[e, x] for x in range(d - p + 1, d + 1)) for c in (n, total) for p in (2, 5))
+        rows = self.store.state(100, 200).collect()
+        assert {(bytes(r.entity), r.day): (r.n_2, r.n_5, r.x_2, r.x_5) for r in rows} == expected and len(rows) == len(expected)
+        return {(bytes(r.entity), r.day): r.v for r in rows if r.v}
+
+
+def test_days_one_by_one_or_caught_up_are_the_same(spark, tmp_path):
+    one, many = Book(spark, tmp_path / "one"), Book(spark, tmp_path / "many")
+    for d in range(100, 106):
+        one.advance(d, d)
+    many.advance(100, 103)
+    many.advance(104, 105)
+    one.check()
+    many.check()
+    assert sorted(map(tuple, one.store.history(100, 105).collect())) == sorted(map(tuple, many.store.history(100, 105).collect()))
+    assert {(bytes(r.entity), r.first_day) for r in one.store.first_days().collect()} == {(e, min(d for x, d in one.amounts if x == e and d <= 105)) for e in (b"a", b"b", b"c") if any(x == e and d <= 105 for x, d in one.amounts)}
+    with pytest.raises(ValueError, match="cannot follow"):
+        one.advance(108, 108)
+
+
+def test_corrections_touch_their_dates_alone(spark, tmp_path):
+    b = Book(spark, tmp_path / "s")
+    b.advance(100, 106)
+    for d in range(107, 113):
+        b.advance(d, d)
+    late = {(b"a", 105): 5, (b"c", 103): 2, (b"z", 106): 4, (b"z", 140): 9}
+    b.correct("first", late)
+    touched = {(e, x) for (e, d) in late for x in range(d, min(d + 5, 113))}
+    assert b.check() == dict.fromkeys(touched, 1)
+    # what was written and what was read: the touched dates, and files with days around them
+    step = b.store.steps()[-1]
+    assert {(bytes(r.entity), r.day) for r in b.store._read("state", step, b.store.state_schema).collect()} == touched
+    read = b.store._amounts(b.store.steps(), 103 - 4, 110)
+    untouched = [s["id"] for s in b.store.steps() if s["name"] is None and s["first"] > 110]
+    assert len(untouched) == 2 and not any(i in f for f in read.inputFiles() for i in untouched)
+    b.correct("second", {(b"a", 107): 1})
+    got = b.check()
+    assert {k for k, v in got.items() if v == 2} == {(b"a", x) for x in range(107, 112)}
+    b.correct("first", {(b"a", 105): 6})  # again, with other amounts: nothing is added twice
+    b.check()
+    b.correct("nothing", {})
+    b.check()
+
+
+def test_an_advance_run_again_after_a_correction(spark, tmp_path):
+    b = Book(spark, tmp_path / "s")
+    b.advance(100, 110)
+    b.correct("fix", {(b"a", 107): 3, (b"b", 109): 2})
+    b.amounts = {k: x + 1 for k, x in b.amounts.items() if k[1] < 108} | {(b"a", 108): 7, (b"d", 109): 1}
+    b.advance(100, 107)  # the days after the last one are gone until they are advanced again
+    b.check()
+    b.advance(108, 108)
+    b.advance(109, 112)
+    assert not b.check()  # the corrections are in the states of version 0 now
+    b.correct("fix", {})
+    b.check()
+
+
+def test_a_failing_step_leaves_nothing(spark, tmp_path, monkeypatch):
+    b = Book(spark, tmp_path / "s")
+    b.advance(100, 104)
+
+    def broken(*args):
+        raise OSError("disk")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(b.store, "_publish", broken)
+        b.store.correct("fix", b.rows({(b"a", 101): 100}))
+    b.check()
+    b.correct("fix", {(b"a", 101): 100})
+    b.check()
 
 
 def test_per_member_results(facts):
@@ -129,7 +226,7 @@ def test_empty_and_null_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     nulls = spark.createDataFrame([(None,) * 12] * 3, SCHEMA)
     for df in (none, nulls):
-        assert rolling.rolling_totals(df).count() == rolling.surges_and_lulls(df).count() == dense.member_results(df).count() == 0
+        assert rolling.rolling_totals(df).count() == rolling.surges_and_lulls(df).count() == rolling.corrected_totals(df).count() == dense.member_results(df).count() == 0
 
 
 def test_sums_are_exact():
