@@ -10,6 +10,15 @@ Words are scored once for each batch of texts (and remembered). A word votes
 with its log-probability below the best language's, limited to ``LIMIT``: a
 paragraph has the language of most of its words, and no odd word outvotes the
 others. A document has the language of most of its paragraphs.
+
+"None of these" is a tenth vote, of a model that knows characters but no pieces:
+it wins for languages and scripts that were not fitted. Confidence is a
+posterior over all ten, tempered so that it is right as often as it says on
+sentences held out from the fit: words of one text are not independent, so
+votes count for less the more there are.
+
+Mixed paragraphs are cut into segments by the best path over their words, in
+which a change of language costs ``SWITCH``.
 """
 
 from __future__ import annotations
@@ -35,6 +44,10 @@ NAMES = {
 }
 LONGEST_WORD, LONGEST_PIECE = 24, 12
 LIMIT = 4.0
+#: Cost of a change of language between two words, in votes: some four words must speak for it.
+SWITCH = 15.0
+#: Words of a paragraph that one path runs over.
+WORDS_A_PATH = 2048
 MARK = 0x2581  # begins a word in the vocabulary
 REMEMBERED = 1_000_000
 
@@ -102,11 +115,19 @@ def words_of(c: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 @dataclass
 class Model:
-    """Hashes of the pieces, sorted, their probability in each language, and that of an unknown character of a script."""
+    """Hashes of the pieces, sorted, their probability in each language, and that of an unknown character of a script.
+
+    ``chars``, ``char_logp`` and ``char_unknown`` are the model of none of the
+    languages. ``tempering``: (weight of a vote, number of votes that it halves at).
+    """
 
     hashes: np.ndarray
     probs: np.ndarray
     unknown: np.ndarray
+    chars: np.ndarray
+    char_logp: np.ndarray
+    char_unknown: np.ndarray
+    tempering: tuple[float, float] = (0.5, 8.0)
 
     def pieces(self, chars: np.ndarray) -> np.ndarray:
         """Number of the piece that begins at each place of the rows of ``chars`` (0: none), by length: (rows, places, lengths); -1: none."""
@@ -151,6 +172,20 @@ class Model:
         return np.log(total[np.arange(len(chars)), lengths] + 1e-300)
 
 
+    def none(self, chars: np.ndarray, scripts: np.ndarray) -> np.ndarray:
+        """Log-probability of each row as characters alone."""
+        at = np.minimum(np.searchsorted(self.chars, chars), len(self.chars) - 1)
+        p = np.where(self.chars[at] == chars, self.char_logp[at], self.char_unknown[scripts][:, None])
+        return np.where((chars > 0) & (chars != MARK), p, 0).sum(axis=1) + np.where(scripts == CJK, np.log(0.5), np.log(0.125))
+
+    def posterior(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Probability of each language and of none, from the votes of that many words."""
+        weight, half = self.tempering
+        z = total * (weight / (1 + words / half))[:, None]
+        x = np.exp(z - z.max(axis=1, keepdims=True))
+        return x / x.sum(axis=1, keepdims=True)
+
+
 def rows_of(low: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Words as rows of code points, with the mark that begins a word except in Chinese and Japanese."""
     lengths = end - start
@@ -179,7 +214,11 @@ def fit(sentences: list[tuple[str, str]], pieces: list[str], rounds: int = 6, pr
     seen = np.zeros((7, len(LANGS)))
     np.add.at(seen, (np.repeat(kind, end - start), np.repeat(lang, end - start)), 1)
     unknown = 1e-3 * (seen + 0.01) / (seen.sum(axis=0) + 1) * np.array([1, 0.3, 0.3, 1, 1, 1, 1])[:, None]
-    model = Model(hashes[order], np.full((n, len(LANGS)), 1 / n), np.maximum(unknown, 1e-9))
+    letters = ragged(start, end - start)
+    of_script = np.repeat(kind, end - start)
+    chars, first, counts = np.unique(low[letters], return_index=True, return_counts=True)
+    ends = np.bincount(of_script, minlength=7) + np.bincount(kind, minlength=7) + 50
+    model = Model(hashes[order], np.full((n, len(LANGS)), 1 / n), np.maximum(unknown, 1e-9), chars, np.log((counts + 0.5) / ends[of_script[first]]), np.log(0.5 / ends))
     rows = rows_of(low, start, end, kind)
     for _ in range(rounds):
         total, ids, _ = model.forward(rows, kind)
@@ -206,15 +245,15 @@ def fit(sentences: list[tuple[str, str]], pieces: list[str], rounds: int = 6, pr
 
 
 class Scorer:
-    """Votes of words, remembered between batches."""
+    """Votes of words for the languages and for none, remembered between batches."""
 
     def __init__(self, model: Model):
         self.model = model
         self.number: dict[int, int] = {}
-        self.votes = np.zeros((1 << 12, len(LANGS)), np.float32)
+        self.votes = np.zeros((1 << 12, len(LANGS) + 1), np.float32)
 
     def __call__(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Vote of each word for each language: 0 for the best, down to -LIMIT."""
+        """Vote of each word for each language, 0 for the best, down to -LIMIT; the last one for none of them, up to LIMIT."""
         word, different, first = uniques(span_hashes(low, start, end))
         known = different.tolist()
         if len(self.number) + len(known) > REMEMBERED:
@@ -226,38 +265,122 @@ class Scorer:
             for s in range(0, len(bucket), 8192):
                 part = bucket[s : s + 8192]
                 at = first[part]
-                p = self.model.score(rows_of(low, start[at], end[at], kind[at]), kind[at])
+                chars = rows_of(low, start[at], end[at], kind[at])
+                p = self.model.score(chars, kind[at])
+                best = p.max(axis=1, keepdims=True)
+                none = np.where(kind[at] == OTHER_SCRIPT, LIMIT, np.clip(self.model.none(chars, kind[at]) - best[:, 0], -LIMIT, LIMIT))
                 n = len(self.number)
                 while len(self.votes) < n + len(part):
                     self.votes = np.r_[self.votes, np.zeros_like(self.votes)]
-                self.votes[n : n + len(part)] = np.maximum(p - p.max(axis=1, keepdims=True), -LIMIT)
+                self.votes[n : n + len(part)] = np.c_[np.maximum(p - best, -LIMIT) * (kind[at] != OTHER_SCRIPT)[:, None], none]
                 self.number.update(zip([known[i] for i in part], range(n, n + len(part)), strict=True))
         at = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
-        return self.votes[at[word]] if len(word) else np.zeros((0, len(LANGS)), np.float32)
+        return self.votes[at[word]] if len(word) else np.zeros((0, len(LANGS) + 1), np.float32)
 
 
-def paragraphs(c: Codes, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, paragraph number and votes of every paragraph with words of a language."""
-    low, start, end, kind, blank = words_of(c)
-    votes = scorer(low, start, end, kind)
-    weight = np.where(kind == CJK, 1.0, np.minimum((end - start) / 3.0, 1.0))
-    text = np.searchsorted(c.starts, start, side="right") - 1
-    base = np.r_[0, blank][c.starts[:-1]] if len(c.starts) > 1 else np.zeros(0, np.int64)
-    par = blank[start] - base[text] if len(start) else start
-    if not len(start):
-        return text, par, votes
-    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (par[1:] != par[:-1])])
-    total = np.add.reduceat(votes * weight[:, None], new, axis=0)
-    # words proper: of three letters or more, or a pair of Chinese or Japanese characters
-    proper = np.add.reduceat(((end - start >= 3) | (kind == CJK)).astype(np.int64), new)
-    ok = proper >= 2
-    return text[new][ok], par[new][ok], total[ok]
+@dataclass
+class Words:
+    """Words of a chunk of texts in order: positions, text, paragraph, votes, weight, and where paragraphs begin."""
+
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    par: np.ndarray
+    votes: np.ndarray
+    weight: np.ndarray
+    foreign: np.ndarray
+    new: np.ndarray
+
+    @classmethod
+    def read(cls, c: Codes, scorer: Scorer) -> Words:
+        low, start, end, kind, blank = words_of(c)
+        votes = scorer(low, start, end, kind)
+        weight = np.where(kind == CJK, 1.0, np.minimum((end - start) / 3.0, 1.0))
+        text = np.searchsorted(c.starts, start, side="right") - 1
+        base = np.r_[0, blank][c.starts[:-1]] if len(c.starts) > 1 else np.zeros(0, np.int64)
+        par = blank[start] - base[text] if len(start) else start
+        new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (par[1:] != par[:-1])][: len(start)])
+        return cls(start, end, text, par, votes, weight, kind == OTHER_SCRIPT, new)
+
+
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, votes, weight of the words, and whether it has words in the languages' scripts, of every paragraph with a word.
+
+    A word that counts for this has three letters or is Chinese or Japanese:
+    letters that stand alone are variables and units more often than words.
+    """
+    if not len(w.new):
+        return w.text, w.par, w.votes, w.weight, w.foreign
+    total = np.add.reduceat(w.votes * w.weight[:, None], w.new, axis=0)
+    any_word, own = (np.add.reduceat(x.astype(np.int64), w.new) > 0 for x in (w.weight == 1, (w.weight == 1) & ~w.foreign))
+    at = w.new[any_word]
+    return w.text[at], w.par[at], total[any_word], np.add.reduceat(w.weight, w.new)[any_word], own[any_word]
+
 
+def segments_of(w: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each segment, and its language (``len(LANGS)``: none): the path of most votes less the cost of its changes.
 
-def confidence(total: np.ndarray) -> np.ndarray:
-    """Posterior probability of the best language, for votes that are spread over a paragraph."""
-    x = np.exp(total - total.max(axis=-1, keepdims=True))
-    return 1 / x.sum(axis=-1)
+    All paragraphs go forward together, a word at a time. A path covers
+    ``WORDS_A_PATH`` words at most; equal neighbours become one segment.
+    """
+    n = len(w.start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    votes = w.votes * w.weight[:, None]
+    votes = votes - np.maximum(votes.max(axis=1, keepdims=True), 0)  # none may be above the best language
+    length = np.diff(np.r_[w.new, n])
+    parts = -(-length // WORDS_A_PATH)
+    first = np.repeat(w.new, parts) + ragged(np.zeros(len(parts), np.int64), parts) * WORDS_A_PATH
+    length = np.diff(np.r_[first, n])
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # paths that have so many words
+    changed, came = np.zeros(votes.shape, bool), np.zeros(n, np.int64)
+    score = votes[first].astype(np.float64)
+    for t in range(1, int(length[0])):
+        k = alive[t]
+        at, s = first[:k] + t, score[:k]
+        came[at] = s.argmax(axis=1)
+        other = s.max(axis=1, keepdims=True) - switch
+        changed[at] = other > s
+        score[:k] = np.maximum(s, other) + votes[at]
+    lang, state = np.zeros(n, np.int64), score.argmax(axis=1)
+    for t in range(int(length[0]) - 1, -1, -1):
+        k = alive[t]
+        at = first[:k] + t
+        lang[at] = state[:k]
+        if t:
+            state[:k] = np.where(changed[at, state[:k]], came[at], state[:k])
+    begins = np.zeros(n, bool)
+    begins[w.new] = True
+    begins[1:] |= lang[1:] != lang[:-1]
+    return np.flatnonzero(begins), lang[begins]
+
+
+def temper(model: Model, held_out: list[tuple[str, str]]) -> tuple[float, float]:
+    """The tempering under which runs of 1 to 16 words, and whole sentences, that the model was not fitted on are most likely."""
+    w = Words.read(Codes(pa.array([s for _, s in held_out], pa.string())), Scorer(model))
+    truth = np.array([LANGS.index(x) for x, _ in held_out])
+    begin = np.flatnonzero(np.r_[True, w.text[1:] != w.text[:-1]][: len(w.text)])
+    size = np.diff(np.r_[begin, len(w.text)])
+    up, weights = np.vstack([np.zeros((1, len(LANGS) + 1)), np.cumsum(w.votes * w.weight[:, None], axis=0)]), np.r_[0, np.cumsum(w.weight)]
+    total, words, right = [], [], []
+    for k in (1, 2, 4, 8, 16, 1 << 30):
+        n = np.minimum(size, k)
+        for shift in (0, 5, 10) if k <= 16 else (0,):
+            s = begin + np.minimum(shift, size - n)
+            total.append(up[s + n] - up[s])
+            words.append(weights[s + n] - weights[s])
+            right.append(truth[w.text[begin]])
+    total, words, right = np.concatenate(total), np.concatenate(words), np.concatenate(right)
+    grid = [(a, b) for a in (0.125, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0) for b in (2.0, 4.0, 8.0, 16.0, 32.0, 1e9)]
+    model = Model(**vars(model))
+
+    def loss(t: tuple[float, float]) -> float:
+        model.tempering = t
+        return -float(np.log(model.posterior(total, words)[np.arange(len(right)), right] + 1e-12).mean())
+
+    return min(grid, key=loss)
 
 
 def label_names(label: str | None) -> str | None:
@@ -272,53 +395,102 @@ def label_names(label: str | None) -> str | None:
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """Language of every document and paragraph: doc_id, par_no, lang, confidence, named.
+    """Language of every document and paragraph: doc_id, par_no, lang, confidence, none, named, doc_lang.
 
     ``par_no`` is -1 for the document itself, else the paragraph's number.
-    ``named`` is the language that the label names (null: none). Null, empty
-    and wordless texts have no rows. One pass over the texts, without a shuffle.
+    ``lang`` is the best of the languages; ``confidence`` its probability, for a
+    document the mean over its words, and ``none`` that of none of the
+    languages. ``named`` is the language that the label names (null: none).
+    Every text with a word (of three letters, or Chinese or Japanese) has rows;
+    null, empty and wordless texts have none. A paragraph that is in other scripts altogether
+    has a row with null for its language, and so has a document of only such ones.
+    One pass over the texts, without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         labels: dict[str | None, str | None] = {}
+        names = [*LANGS, None]
         for b, c in text_chunks(batches, "text"):
-            text, par, total = paragraphs(c, scorer)
+            text, par, total, words, own = paragraphs(Words.read(c, scorer))
             if not len(text):
                 continue
-            best, sure = total.argmax(axis=1), confidence(total)
+            votes = total[:, :-1]
+            chance = model.posterior(total, words)
+            best = np.where(own, votes.argmax(axis=1), len(LANGS))
             new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            counts = np.add.reduceat(np.eye(len(LANGS))[best], new, axis=0)
-            sums = np.add.reduceat(total, new, axis=0)
+            counts = np.add.reduceat(np.eye(len(LANGS) + 1)[best], new, axis=0)[:, :-1]
+            sums = np.add.reduceat(votes, new, axis=0)
             # most paragraphs; of languages with as many, the one with the better votes
             tie = counts == counts.max(axis=1, keepdims=True)
-            doc = np.where(tie, sums, -np.inf).argmax(axis=1)
-            share = counts[np.arange(len(new)), doc] / counts.sum(axis=1)
+            doc = np.where(counts.any(axis=1), np.where(tie, sums, -np.inf).argmax(axis=1), len(LANGS))
+            mean = np.add.reduceat(chance * words[:, None], new, axis=0) / np.add.reduceat(words, new)[:, None]
             rows = np.r_[text[new], text]
-            out_lang = np.array(LANGS)[np.r_[doc, best]]
+            out = np.r_[doc, best]
+            every = np.concatenate([mean, chance])
             given = b.column(1).take(pa.array(rows)).to_pylist()
             for g in set(given) - labels.keys():
                 labels[g] = label_names(g)
+            of_doc = np.r_[doc, doc[np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(text)]))]]
             yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(rows)), pa.array(np.r_[np.full(len(new), -1), par].astype(np.int32)), pa.array(out_lang.tolist()),
-                pa.array(np.r_[share * np.minimum.reduceat(sure, new), sure]), pa.array([labels[g] for g in given], pa.string()), pa.array(np.array(LANGS)[np.r_[doc, doc[np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(text)]))]]].tolist()),
-            ], ["doc_id", "par_no", "lang", "confidence", "named", "doc_lang"])
+                b.column(0).take(pa.array(rows)), pa.array(np.r_[np.full(len(new), -1), par].astype(np.int32)), pa.array([names[x] for x in out], pa.string()),
+                pa.array(every[np.arange(len(out)), out]), pa.array(every[:, -1]), pa.array([labels[g] for g in given], pa.string()), pa.array([names[x] for x in of_doc], pa.string()),
+            ], ["doc_id", "par_no", "lang", "confidence", "none", "named", "doc_lang"])
 
     d = documents.select("doc_id", documents["lang"].alias("label"), "text")
-    return d.mapInArrow(run, "doc_id bigint, par_no int, lang string, confidence double, named string, doc_lang string")
+    return d.mapInArrow(run, "doc_id bigint, par_no int, lang string, confidence double, `none` double, named string, doc_lang string")
 
 
 def wrong_labels(languages: DataFrame) -> DataFrame:
     """Of ``identify``: documents whose label does not name their language, and paragraphs in another language."""
     doc = "par_no = -1 and (named is null or named != lang)"
-    return languages.filter(f"({doc}) or (par_no >= 0 and lang != doc_lang)")
+    return languages.filter(f"lang is not null and (({doc}) or (par_no >= 0 and lang != doc_lang))")
+
+
+def mixed(documents: DataFrame, model: Model) -> DataFrame:
+    """Segments of the paragraphs that have several: doc_id, par_no, seg_no, begins, ends, lang, confidence.
+
+    ``begins`` and ``ends`` are positions in the text, in code points, from its
+    first word to behind its last one; ``lang`` is null for none of the
+    languages. Texts without such paragraphs, null and empty ones have no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        names = [*LANGS, None]
+        for b, c in text_chunks(batches, "text"):
+            w = Words.read(c, scorer)
+            first, lang = segments_of(w)
+            if not len(first):
+                continue
+            chance = model.posterior(np.add.reduceat(w.votes * w.weight[:, None], first, axis=0), np.add.reduceat(w.weight, first))
+            par = np.searchsorted(w.new, first, side="right") - 1
+            at = np.flatnonzero(np.bincount(par)[par] > 1)
+            head = np.flatnonzero(np.r_[True, par[1:] != par[:-1]])
+            number = np.arange(len(first)) - head[np.searchsorted(head, np.arange(len(first)), side="right") - 1]
+            last = np.r_[first[1:], len(w.start)] - 1
+            text = w.text[first]
+            base = c.starts[text]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).take(pa.array(text[at])), pa.array(w.par[first][at].astype(np.int32)), pa.array(number[at].astype(np.int32)), pa.array((w.start[first] - base)[at]), pa.array((w.end[last] - base)[at]),
+                pa.array([names[x] for x in lang[at]], pa.string()), pa.array(chance[at, lang[at]]),
+            ], ["doc_id", "par_no", "seg_no", "begins", "ends", "lang", "confidence"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, par_no int, seg_no int, begins bigint, ends bigint, lang string, confidence double")
 
 
 def load(samples: DataFrame, vocabulary: str, most: int = 20_000) -> Model:
-    """Fit the model on at most ``most`` sentences of ``samples`` (lang, text) over the pieces of a sentencepiece file."""
+    """Fit the model on at most ``most`` sentences of ``samples`` (lang, text) over the pieces of a sentencepiece file.
+
+    The confidence is tempered on each fourth sentence, with a fit on the others.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     rows = samples.select("sample_id", "lang", "text").dropna().filter(samples["lang"].isin(*LANGS)).orderBy("sample_id").limit(most).collect()
-    return fit([(r.lang, r.text) for r in rows], pieces)
+    pairs = [(r.lang, r.text) for r in rows]
+    model = fit(pairs, pieces)
+    if len(pairs) >= 40:
+        model.tempering = temper(fit([x for i, x in enumerate(pairs) if i % 4], pieces, rounds=3), pairs[::4])
+    return model

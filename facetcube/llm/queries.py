@@ -105,9 +105,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, sf_dir, "documents"), index).select("doc_id", "item_id")
 
 
+def _model(spark: SparkSession, sf_dir: str) -> language.Model:
+    return language.load(_table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = language.load(_table(spark, sf_dir, "lang_samples"), f"{TOKENIZERS}/piece_bpe_32k.model")
-    return language.identify(_table(spark, sf_dir, "documents"), model)
+    return language.identify(_table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +118,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every document and paragraph."""
-    return _languages(spark, sf_dir).select("doc_id", "par_no", "lang", "confidence")
+    """Language of every document and paragraph (null where none of the languages has nine tenths), its confidence, and that of none."""
+    e = _languages(spark, sf_dir)
+    return e.select("doc_id", "par_no", F.when(F.col("none") <= 0.9, F.col("lang")).alias("lang"), "confidence", F.col("none").alias("none_of_these"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the paragraphs that mix languages, with their confidence."""
+    return language.mixed(_table(spark, sf_dir, "documents"), _model(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_audit, p3_joint, p3_joint_audit, p5_found, p5_percentiles, p5_audit, p6_found, p7_ids, p8_found, p9_found, p9_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_estimates, p3_audit, p3_joint, p3_joint_audit, p5_found, p5_percentiles, p5_audit, p6_found, p7_ids, p8_found, p9_found, p9_languages, p9_segments)}
 
 _CARRIED = f"""with {FACTS}, m as (select 'charDim1' field, c1 item from facts where c1 is not null union all select 'dim3', d3 from facts where d3 is not null),
  counted as (select field, item, count(*) facts, sum(count(*)) over (partition by field) total from m group by 1, 2)"""

@@ -244,8 +244,8 @@ def model(samples, pieces):
 
 
 def guess(model, texts):
-    text, par, total = language.paragraphs(Codes(pa.array(texts, pa.string())), language.Scorer(model))
-    return {(int(t), int(p)): language.LANGS[i] for t, p, i in zip(text, par, total.argmax(axis=1), strict=True)}
+    text, par, total, _, own = language.paragraphs(language.Words.read(Codes(pa.array(texts, pa.string())), language.Scorer(model)))
+    return {(int(t), int(p)): language.LANGS[i] for t, p, i, o in zip(text, par, total[:, :-1].argmax(axis=1), own, strict=True) if o}
 
 
 def test_held_out_accuracy(samples, pieces):
@@ -304,3 +304,48 @@ def test_languages_in_spark(spark, hard, model, samples):
     every = language.identify(docs, model)
     assert every.filter("confidence < 0 or confidence > 1 or confidence is null").count() == 0
     assert every.filter("doc_id in (0, 1, 2, 3)").count() == 0 and language.identify(docs.limit(0), model).count() == 0
+
+
+def test_a_single_word_has_a_language(model):
+    assert guess(model, ["Verfahren", "x = 5", "", "Der Hund", "압력을 측정하는", "阀门", "The\n\n7 m"]).keys() == {(0, 0), (3, 0), (5, 0), (6, 0)}
+    assert guess(model, ["Verfahren"])[0, 0] == "de"
+
+
+def test_none_of_these(spark, model):
+    texts = ["이 발명은 압력을 측정하는 장치에 관한 것이다", "Ten wynalazek dotyczy urządzenia do pomiaru ciśnienia w przewodzie", "The known devices have the disadvantage that they are expensive"]
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id bigint, lang string, text string")
+    rows = {(r.doc_id, r.par_no): r for r in language.identify(docs, model).collect()}
+    assert rows[0, -1].lang is None and rows[0, 0].none > 0.99 and rows[1, 0].none > 0.9 and rows[2, 0].lang == "en" and rows[2, 0].confidence > 0.9
+    assert {r.doc_id for r in language.wrong_labels(language.identify(docs, model)).collect()} == {1, 2}
+
+
+def test_confidence_is_right_as_often_as_it_says(samples, pieces):
+    fitted = language.fit([x for i, x in enumerate(samples) if i % 3], pieces, rounds=3)
+    rest = samples[::3]
+    fitted.tempering = language.temper(fitted, rest[::2])
+    for k in (1, 3, 8):
+        runs = []
+        for lang, text in rest[1::2]:
+            words = [text[i : i + 2] for i in range(0, len(text), 2)] if lang in ("zh", "ja") else text.split()
+            glue = "" if lang in ("zh", "ja") else " "
+            runs += [(lang, glue.join(words[i : i + k])) for i in range(0, len(words) - k + 1, k)]
+        text, _, total, words, _ = language.paragraphs(language.Words.read(Codes(pa.array([t for _, t in runs])), language.Scorer(fitted)))
+        chance, best = fitted.posterior(total, words), total[:, :-1].argmax(axis=1)
+        right = np.mean([language.LANGS[b] == runs[t][0] for b, t in zip(best, text, strict=True)])
+        assert abs(right - chance[np.arange(len(best)), best].mean()) < 0.06
+
+
+def test_mixed_paragraphs_are_cut(spark, model, monkeypatch):
+    en, de = "The known devices have the disadvantage that they are expensive to manufacture.", "Das Gehäuse ist mit einem Deckel versehen, der sich leicht abnehmen lässt."
+    texts = [f"{en} {de}", f"{en}\n\n{de}", f"{de} {en} {de}", en, None, "", "7"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = sorted(language.mixed(docs, model).collect())
+    assert [(r.doc_id, r.par_no, r.seg_no, r.lang) for r in rows] == [(0, 0, 0, "en"), (0, 0, 1, "de"), (2, 0, 0, "de"), (2, 0, 1, "en"), (2, 0, 2, "de")]
+    for r in rows:
+        cut = texts[r.doc_id][r.begins : r.ends]
+        assert abs(len(cut) - (len(en) if r.lang == "en" else len(de))) < 30 and r.confidence > 0.9
+    w = language.Words.read(Codes(pa.array([f"{en} {de} " * 3])), language.Scorer(model))
+    whole = [x.tolist() for x in language.segments_of(w)]
+    monkeypatch.setattr(language, "WORDS_A_PATH", 30)
+    assert [x.tolist() for x in language.segments_of(w)][1] == whole[1]
+    assert language.mixed(docs.limit(0), model).count() == 0
