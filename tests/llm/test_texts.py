@@ -349,3 +349,52 @@ def test_mixed_paragraphs_are_cut(spark, model, monkeypatch):
     monkeypatch.setattr(language, "WORDS_A_PATH", 30)
     assert [x.tolist() for x in language.segments_of(w)][1] == whole[1]
     assert language.mixed(docs.limit(0), model).count() == 0
+
+
+def test_markup_of_any_length(items, index):
+    item, text = min(items.items())
+    words = text.split()
+    link = '<a href="https://example.org/some/long/address?with=parameters&more=of&them=all" class="reference external">'
+    marked = " ".join(f"{link}{w}</a> <!-- changed by the editor --> <br/>" if i % 2 else w for i, w in enumerate(words))
+    formula = "if a<b then " + text + " else c>d"
+    assert found(index, [FILLER + marked + FILLER, formula]) == [{item}, {item}]
+    kept = [leaks.as_words(p) for p in leaks.folded_parts(["x <!-- a > b --> y", "<!-- want", "p<q r s"])]
+    assert kept == [["x", "y"], ["want"], ["p", "q", "r", "s"]]
+
+
+def test_long_texts_align_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 50, 40)
+    b = np.r_[rng.integers(100, 150, 700), a[:15], [7, 200], a[17:], rng.integers(100, 150, 900), a[5:12]]
+    whole = leaks.align(a, b)
+    monkeypatch.setattr(leaks, "CELLS", 1)
+    assert leaks.align(a, b) == whole and whole[4] >= 35
+
+
+def test_shards_find_what_one_index_finds(spark, items, index):
+    table = spark.createDataFrame(sorted(items.items()), "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{FILLER} {text} {FILLER}") for i, text in sorted(items.items())[:30]], "doc_id bigint, text string")
+    shards = leaks.index_of(table, shard=50)
+    assert len(shards) == -(-len(items) // 50)
+    assert sorted(map(tuple, leaks.find_leaks(docs, shards).collect())) == sorted(map(tuple, leaks.find_leaks(docs, index).collect()))
+
+
+def test_blocks_are_skipped(index):
+    """A window with a few common terms opens no block; one with a passage opens some."""
+    opened = []
+
+    class Spy:
+        def __len__(self):
+            return len(index.block)
+
+        def __getitem__(self, rows):
+            opened.append(len(rows))
+            return index.block[rows]
+
+    from dataclasses import replace
+
+    spy = replace(index, block=Spy())
+    few = index.terms[np.argsort(index.term_most)[:3]]
+    assert len(spy.search(np.zeros(3, np.int64), few)[0]) == 0 and sum(opened) == 0
+    spy.search(np.zeros(4000, np.int64), index.terms[:4000])
+    assert 0 < sum(opened) <= int(np.diff(index.block_start)[:4000].sum())
