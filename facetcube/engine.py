@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from facetcube.model import Cube
-from facetcube.operators.compile import compact, compile_batch
+from facetcube.operators.compile import compact, compile_batch, vacuum
 from facetcube.plans.dialect import PreparedQuery
 from facetcube.plans.query import CubeQuery
 from facetcube.sources.catalog import Catalog
@@ -35,17 +35,24 @@ class Engine:
     def drop(self, cube: Cube | str) -> None:
         self.catalog.drop(self._cube(cube))
 
-    def compile(self, cube: Cube | str, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, spread: int | None = None) -> list[str]:
-        return compile_batch(self.catalog, self._cube(cube), facts, batch, include, exclude, groups, spread)
+    def compile(self, cube: Cube | str, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, **more: Any) -> list[str]:
+        return compile_batch(self.catalog, self._cube(cube), facts, batch, include, exclude, groups, **more)
 
     def compile_stream(self, cube: Cube | str, facts: DataFrame, name: str, checkpoint: str, **more: Any) -> StreamingQuery:
         return compile_stream(self.catalog, self._cube(cube), facts, name, checkpoint, **more)
 
-    def compact(self, cube: Cube | str, now: int | None = None) -> None:
-        """Compact every cuboid of a cube and drop what has outlived its TTL."""
+    def compact(self, cube: Cube | str, now: int | None = None, grace: float = 3600) -> None:
+        """Compact every cuboid of a cube, drop what has outlived its TTL, and delete folders that no manifest has named for ``grace`` seconds."""
         cube = self._cube(cube)
         for c in cube.cuboids:
             compact(self.catalog, cube, c, now)
+            vacuum(self.catalog, cube, c, grace)
+
+    def vacuum(self, cube: Cube | str, grace: float = 3600) -> None:
+        """Delete folders that no manifest names and that have not changed for ``grace`` seconds."""
+        cube = self._cube(cube)
+        for c in cube.cuboids:
+            vacuum(self.catalog, cube, c, grace)
 
     def query(self, cube: Cube | str | None = None, strict: bool = False) -> CubeQuery:
         return CubeQuery(self.catalog, cube, strict)

@@ -18,11 +18,12 @@ from facetcube.functions.summarizers import Summarizer
 
 @dataclass(frozen=True)
 class Field:
-    """A state field: aggregate over facts, aggregate over cells, whether it adds (so that it can be taken away)."""
+    """A state field: aggregate over facts, aggregate over cells, whether it adds (so that it can be taken away), and its type."""
 
     of_facts: Callable[[Column], Column]
     of_cells: Callable[[Column], Column]
     additive: bool = True
+    kind: str = "double"
 
 
 FIELDS: dict[str, Field] = {
@@ -36,10 +37,11 @@ FIELDS: dict[str, Field] = {
 
 @dataclass(frozen=True)
 class AggFunction:
-    """A named function. ``needs`` are the standard fields it reads, ``fields`` those it keeps of its own (as doubles); ``final`` gets all by name.
+    """A named function. ``needs`` are the standard fields it reads, ``fields`` those it keeps of its own; ``final`` gets all by name.
 
     This is the SPI of custom functions: a state of columns, built from facts,
-    merged from cells, finished by an expression, without code a row.
+    merged from cells, finished by an expression, without code a row. A field
+    may be of any type, so sketches that Spark aggregates natively will do.
     """
 
     name: str
@@ -100,6 +102,12 @@ def canny_rate(name: str, ordinal: int, dt: float) -> SummaryFunction:
     return SummaryFunction(name, int(ordinal), Summarizer("canny_rate", float(dt)))
 
 
+def distinct(name: str = "DISTINCT", bits: int = 12) -> AggFunction:
+    """Approximate number of different values, from a mergeable HyperLogLog state of 2 ** ``bits`` registers (1.04 / sqrt of it standard error)."""
+    state = Field(lambda x: F.hll_sketch_agg(x.cast("string"), bits), lambda x: F.hll_union_agg(x), additive=False, kind="binary")
+    return AggFunction(name, ("cnt",), lambda p: F.when(p["cnt"] > 0, F.hll_sketch_estimate(p["hll"])), (("hll", state),))
+
+
 #: Functions that models may name with the tag !Function: code cannot be stored in a model.
 REGISTERED: dict[str, AggFunction] = {}
 

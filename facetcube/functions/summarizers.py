@@ -17,13 +17,14 @@ need no treatment of their own.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOUR_MS = 3_600_000.0
+from facetcube.functions.folding import Decaying, fold
+
 KINDS = ("exp_avg", "exp_rate", "exp_biased_binomial", "canny_avg", "canny_rate", "canny_biased_binomial")
 
 
@@ -85,50 +86,24 @@ class Summarizer:
 
     # --- aggregation -----------------------------------------------------------------
 
-    # as SQL text: a state has many fields, and one parsed expression costs the driver far less than a tree of columns
-
-    def _decay(self, f: str, by: str) -> str:
-        return f"exp(({by}) / {self.tau(f)!r}D)"
-
-    def of_samples(self, x: str, t: str, anchor: str, prefix: str = "") -> list[Column]:
-        """Aggregates of samples relative to ``anchor``, a time of the group that is not before its samples. Names of columns."""
-        x, t, anchor = f"cast(`{x}` as double)", f"cast(`{t}` as double)", f"`{anchor}`"
-        of = lambda e: f"case when {x} is not null and {t} is not null then {e} end"
-        out = [F.expr(f"sum({of(f'{x if f in "su" else "1D"} * {self._decay(f, f"{t} - {anchor}")}')})").alias(prefix + f) for f in self.sums]
-        out.append(F.expr(f"max({of(t)})").alias(prefix + "t"))
-        return out + ([F.expr(f"min({of(t)})").alias(prefix + "t0")] if self.rate else [])
+    def decaying(self, time: str, value: Callable[[str], str], first: str, prefix: str = "") -> Decaying:
+        """What ``folding.fold`` adds up: ``value`` gives the SQL of a field at ``time``; ``first`` is that of the first time."""
+        return Decaying(time, [(prefix + f, value(f), self.tau(f)) for f in self.sums], [(prefix + "t0", first)] if self.rate else [], [prefix + "t"])
 
-    def reanchor(self, anchor: str, prefix: str = "") -> dict[str, Column]:
-        """Fields built relative to the column ``anchor``, relative to the state's own latest time."""
-        return {prefix + f: F.expr(f"`{prefix}{f}` * {self._decay(f, f'`{anchor}` - `{prefix}t`')}") for f in self.sums}
+    def of_samples(self, x: str, t: str, prefix: str = "") -> Decaying:
+        """State of the samples in the columns ``x`` and ``t`` (doubles, both null where there is none)."""
+        return self.decaying(f"`{t}`", lambda f: f"`{x}`" if f in "su" else f"case when `{x}` is not null then 1D end", f"`{t}`", prefix)
 
-    def merged(self, latest: str, prefix: str = "", weight: Column | None = None) -> list[Column]:
-        """Aggregates that add states decayed to the column ``latest``, the group's largest t. ``weight`` of -1 takes a state away."""
-        shifted = {f: F.expr(f"`{prefix}{f}` * {self._decay(f, f'`{prefix}t` - `{latest}`')}") for f in self.sums}
-        out = [F.sum(e if weight is None else e * weight).alias(prefix + f) for f, e in shifted.items()]
-        out.append(F.max(f"`{prefix}t`").alias(prefix + "t"))
-        return out + ([F.min(f"`{prefix}t0`").alias(prefix + "t0")] if self.rate else [])
+    def of_states(self, prefix: str = "", weight: str | None = None) -> Decaying:
+        """State of all states in the columns of ``prefix``. ``weight``: column of factors; -1 takes a state away."""
+        times = f" * `{weight}`" if weight else ""
+        return self.decaying(f"`{prefix}t`", lambda f: f"`{prefix}{f}`{times}", f"`{prefix}t0`", prefix)
 
     def summarize(self, df: DataFrame, keys: Sequence[str], x: Column, t: Column, name: str = "state") -> DataFrame:
-        """State struct of each group of samples.
-
-        Samples are first added up by group and hour, relative to the hour's
-        end; the few cells of a group are then decayed to its latest time.
-        Sub-hour decay so steep that it would underflow takes the latest time
-        itself as the anchor.
-        """
-        keys = list(keys)
+        """State struct of each group of samples; samples with a null or NaN are left out."""
         samples = df.select(*keys, x.cast("double").alias("_x"), t.cast("double").alias("_t")).filter("_x is not null and _t is not null and not isnan(_x) and not isnan(_t)")
-        if HOUR_MS / self.beta < 500:
-            anchor = (F.floor(F.col("_t") / HOUR_MS) + 1) * HOUR_MS
-            cells = samples.withColumn("_a", anchor).groupBy(*keys, "_a").agg(*self.of_samples("_x", "_t", "_a"))
-            cells = cells.withColumns(self.reanchor("_a"))
-            latest = F.max("t").over(Window.partitionBy(*keys))
-            out = cells.withColumn("_latest", latest).groupBy(*keys).agg(*self.merged("_latest"))
-        else:
-            out = samples.withColumn("_latest", F.max("_t").over(Window.partitionBy(*keys))).groupBy(*keys).agg(*self.of_samples("_x", "_t", "_latest"))
-        out = out.filter("t is not null")
-        return out.select(*keys, F.struct(*self.fields).alias(name))
+        out = fold(samples, keys, [], [self.of_samples("_x", "_t")])
+        return out.filter("t is not null").select(*keys, F.struct(*self.fields).alias(name))
 
     # --- scalar algebra over state structs ---------------------------------------------
 
@@ -259,12 +234,24 @@ def welford(x: Column) -> Column:
     return F.when(n > 0, F.struct(n.alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * n).alias("m2")))
 
 
-def welford_merge(s: Column) -> Column:
-    """Aggregate that merges the states of a group."""
-    n = F.sum(s["n"])
-    mean = F.sum(s["n"] * s["mean"]) / n
-    m2 = F.sum(s["m2"] + s["n"] * s["mean"] * s["mean"]) - n * mean * mean
-    return F.when(n > 0, F.struct(n.alias("n"), mean.alias("mean"), F.greatest(m2, F.lit(0.0)).alias("m2")))
+def welford_merge(df: DataFrame, keys: Sequence[str], state: str, most: float = 1e8) -> DataFrame:
+    """States (in the column ``state``) merged by ``keys``: the keys and ``state``; groups without a value are left out.
+
+    Squares are taken of the deviations from the group's mean, which a first
+    aggregate gives, so nothing cancels for large means; both aggregates
+    combine before the shuffle. ``most`` caps n, as in ``welford_combine``.
+    """
+    parts = df.select(*keys, F.col(state).alias("_s")).filter("_s.n > 0")
+    whole = parts.groupBy(*keys).agg(F.sum("_s.n").alias("_n"), (F.sum(F.col("_s.n") * F.col("_s.mean")) / F.sum("_s.n")).alias("_mean"))
+    own = whole.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", "_mean")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = F.col("_s.mean") - F.col("_mean")
+    m2 = F.sum(F.col("_s.m2") + F.col("_s.n") * d * d)
+    merged = parts.join(own, same).groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_mean").alias("_mean"), m2.alias("_m2"))
+    kept = F.least("_n", F.lit(most))
+    return merged.select(*keys, F.struct(kept.alias("n"), F.col("_mean").alias("mean"), (F.col("_m2") * kept / F.col("_n")).alias("m2")).alias(state))
 
 
 def welford_combine(a: Column, b: Column, most: float = 1e8) -> Column:

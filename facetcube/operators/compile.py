@@ -2,33 +2,45 @@
 
 A batch of facts becomes, for each cuboid, one dataset of cells: the additive
 state of every measure for every key. Facts are grouped once, at the finest
-level; the coarser levels of hierarchies are rolled up from these cells, not
-from the facts again. Batches are appended and merged when they are read, which
-is right because states add; compaction writes them as one.
+level, and written; each coarser level is made of the cells of the level below
+it. Batches are appended and merged when they are read, which is right because
+states add; compaction writes them as one.
 
 Columns of a cell: each flat dimension; ``<h>_level`` and ``<h>_key`` of each
-hierarchy (0 and '' for ALL); ``<measure>__<field>`` for each state field; and
-``_written``, the seconds of the write.
+hierarchy (0 and '' for ALL); ``<measure>__<field>`` for each state field;
+``_written``, the seconds of the write; and ``<h>_month`` of the first
+hierarchy, the first six digits of its key ('-' for ALL).
+
+Layout: a batch has a folder for each level, in which the files are sorted by
+time and then by the other keys, so that a slice reads the pages of its time;
+the manifest notes the time range of each batch, and a slice opens those that it
+meets. Compaction cuts the levels into months besides, each in files sorted by
+the leading keys: a slice opens the folders of its months.
+
+A batch is written to a folder of its own attempt, which the manifest names when
+all is there: readers see the batch as it was, or as it is, and a failed attempt
+leaves nothing but unnamed files (``vacuum`` removes them).
 """
 
 from __future__ import annotations
 
-import itertools
+import re
 import time
+import uuid
 from collections.abc import Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from facetcube import storage
-from facetcube.functions.aggregates import FIELDS, AggFunction, Field, SummaryFunction
-from facetcube.functions.summarizers import HOUR_MS
-from facetcube.model import Cube, Cuboid, Measure, ModelError
+from facetcube.functions.aggregates import FIELDS, AggFunction, Field
+from facetcube.functions.folding import Decaying, Plain, fold, step_of
+from facetcube.model import Cube, Cuboid, Hierarchy, Measure, ModelError
 from facetcube.sources.catalog import Catalog
 
-
 CUBOIDS_AT_ONCE = 4
 
 
@@ -51,6 +63,17 @@ def state_columns(cube: Cube, m: Measure) -> list[str]:
     return [f"{m.name}__{f}" for f in base_fields(m)] + [*own_fields(cube, m)] + [f"{m.name}__{s.name}__{f}" for s in cube.summaries(m) for f in s.summarizer.fields]
 
 
+def joined(parts: Iterable[Decaying]) -> list[Decaying]:
+    """Sums with one time and equal steps as one."""
+    out: dict[tuple[str, float], Decaying] = {}
+    for p in parts:
+        d = out.setdefault((p.time.rsplit("__", 2)[0], step_of(min(tau for _, _, tau in p.sums))), Decaying(p.time))
+        d.sums += p.sums
+        d.firsts += p.firsts
+        d.times += p.times
+    return list(out.values())
+
+
 def encode(facts: DataFrame, cube: Cube, dims: Iterable[str], measures: Iterable[str]) -> DataFrame:
     """Facts as keys of the dimensions (of hierarchies the finest level) and converted measures."""
     kinds = {f.name: f.dataType for f in facts.schema.fields}
@@ -71,81 +94,57 @@ def encode(facts: DataFrame, cube: Cube, dims: Iterable[str], measures: Iterable
     return facts.select(*(c.alias(n) for n, c in out.items()))
 
 
-def merge_cells(cells: DataFrame, keys: list[str], cube: Cube, measures: Iterable[str], fields: dict[str, set[str]] | None = None, weight: Column | None = None, extra: Iterable[Column] = ()) -> DataFrame:
-    """Cells added up by ``keys``. ``fields``: those wanted of each measure (default: all). ``weight`` of -1 takes cells away.
-
-    States of summaries decay to the group's latest time, which a window over
-    the keys gives: cells, not facts, are sorted for it, and only where a
-    summary is asked for.
-    """
-    aggs: list[Column] = []
-    latest: dict[str, Column] = {}
+def merge_cells(cells: DataFrame, keys: list[str], cube: Cube, measures: Iterable[str], fields: dict[str, set[str]] | None = None, weight: Column | None = None, extra: Iterable[Plain] = ()) -> DataFrame:
+    """Cells added up by ``keys``. ``fields``: those wanted of each measure (default: all). ``weight`` of -1 takes cells away."""
+    plain: list[Plain] = []
+    decaying: list[Decaying] = []
+    present = set(cells.columns)
     for name in measures:
         m = cube.measures[name]
         wanted = fields[name] if fields else None
-        for f in base_fields(m):
-            c = f"{name}__{f}"
-            if c in cells.columns and (wanted is None or f in wanted):
-                x = F.col(f"`{c}`")
-                aggs.append(FIELDS[f].of_cells(x * weight if weight is not None and FIELDS[f].additive else x).alias(c))
-        for c, (fn, f) in own_fields(cube, m).items():
-            if c in cells.columns and (wanted is None or fn.name in wanted):
+        for c, f, owner in [*((f"{name}__{f}", FIELDS[f], f) for f in base_fields(m)), *((c, f, fn.name) for c, (fn, f) in own_fields(cube, m).items())]:
+            if c in present and (wanted is None or owner in wanted):
                 x = F.col(f"`{c}`")
-                aggs.append(f.of_cells(x * weight if weight is not None and f.additive else x).alias(c))
+                plain.append(Plain(c, f.of_cells(x * weight if weight is not None and f.additive else x), f.of_cells))
         for s in cube.summaries(m):
             prefix = f"{name}__{s.name}__"
-            if f"{prefix}t" in cells.columns and (wanted is None or s.name in wanted):
-                latest[f"_{prefix}latest"] = F.max(f"`{prefix}t`").over(Window.partitionBy(*keys))
-                aggs += s.summarizer.merged(f"_{prefix}latest", prefix, weight)
-    if latest:
-        cells = cells.withColumns(latest)
-    aggs += list(extra)
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("_cells")]
-    return cells.groupBy(*keys).agg(*aggs)
-
-
-def compile_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list[str]) -> DataFrame:
-    """Cells of a cuboid from encoded facts, all levels of all hierarchies."""
+            if f"{prefix}t" in present and (wanted is None or s.name in wanted):
+                decaying.append(s.summarizer.of_states(prefix, "_weight" if weight is not None else None))
+    plain += extra
+    if weight is not None and decaying:
+        cells = cells.withColumn("_weight", weight)
+    if not plain and not decaying:
+        plain = [Plain("_cells", F.count(F.lit(1)), F.sum)]
+    return fold(cells, keys, plain, joined(decaying))
+
+
+def finest_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list[str]) -> DataFrame:
+    """Cells of a cuboid at the finest level of its hierarchies, from encoded facts."""
     hierarchies = cube.hierarchies(cuboid)
-    flat = [d for d in cuboid.dims if not cube.dimensions[d].depth]
-    finest = flat + [f"{h.name}_key" for h in hierarchies]
-    plain, summaries = [], []
+    keys = [d for d in cuboid.dims if not cube.dimensions[d].depth] + [f"{h.name}_key" for h in hierarchies]
+    plain: list[Plain] = []
+    decaying: list[Decaying] = []
     for name in measures:
-        m = cube.measures[name]
-        plain += [FIELDS[f].of_facts(F.col(f"`{name}__x`")).alias(f"{name}__{f}") for f in base_fields(m)]
-        plain += [f.of_facts(F.col(f"`{name}__x`")).cast("double").alias(c) for c, (_, f) in own_fields(cube, m).items()]
-        summaries += [(name, s) for s in cube.summaries(m)]
-    if summaries:  # states of an hour of samples relative to its end, then decayed to the cell's latest time
-        times = sorted({name for name, _ in summaries})
-        hours = {f"_hour_{n}": (F.floor(F.col(f"`{n}__t`") / HOUR_MS) + 1) * HOUR_MS for n in times}
-        aggs = list(plain)
-        back: dict[str, Column] = {}
-        for name, s in summaries:
-            _check_decay(s)
-            prefix, anchor = f"{name}__{s.name}__", f"_hour_{name}"
-            aggs += s.summarizer.of_samples(f"{name}__x", f"{name}__t", anchor, prefix)
-            back |= s.summarizer.reanchor(anchor, prefix)
-        cells = encoded.withColumns(hours).groupBy(*finest, *hours).agg(*aggs).withColumns(back)
-        cells = merge_cells(cells, finest, cube, measures)
-    else:
-        cells = encoded.groupBy(*finest).agg(*plain)
-    whole = cells
-    for h in hierarchies:
-        whole = whole.withColumn(f"{h.name}_level", F.lit(h.depth))
-    keys = key_columns(cube, cuboid)
-    states = [c for name in measures for c in state_columns(cube, cube.measures[name])]
-    out = whole.select(*keys, *states)
-    if hierarchies:
-        # every combination of levels but the finest one
-        depths = [range(h.depth + 1) for h in hierarchies]
-        combos = [c for c in itertools.product(*depths) if any(x < h.depth for x, h in zip(c, hierarchies, strict=True))]
-        level = lambda h, k: [F.lit(k).alias(f"{h.name}_level"), h.up(F.col(f"{h.name}_key"), k).alias(f"{h.name}_key")]
-        up = cells.withColumn("_up", F.explode(F.array(*(F.struct(*(x for h, k in zip(hierarchies, c, strict=True) for x in level(h, k))) for c in combos))))
-        up = up.select(*flat, "_up.*", *states)
-        out = out.unionByName(merge_cells(up, keys, cube, measures))
+        m, x = cube.measures[name], F.col(f"`{name}__x`")
+        plain += [Plain(f"{name}__{f}", FIELDS[f].of_facts(x), FIELDS[f].of_cells) for f in base_fields(m)]
+        plain += [Plain(c, f.of_facts(x).cast(f.kind), f.of_cells) for c, (_, f) in own_fields(cube, m).items()]
+        decaying += [s.summarizer.of_samples(f"{name}__x", f"{name}__t", f"{name}__{s.name}__") for s in cube.summaries(m)]
+    cells = fold(encoded, keys, plain, joined(decaying))
+    cells = cells.withColumns({f"{h.name}_level": F.lit(h.depth) for h in hierarchies}) if hierarchies else cells
     # no fact with the measure: no state
-    return out.withColumns({f"{name}__cnt": F.nullif(F.col(f"`{name}__cnt`"), F.lit(0).cast("bigint")) for name in measures})
+    none = {f"{name}__cnt": F.nullif(F.col(f"`{name}__cnt`"), F.lit(0).cast("bigint")) for name in measures}
+    return cells.withColumns(none).select(*_all_columns(cube, cuboid, measures))
+
+
+def rolled_up(cells: DataFrame, cube: Cube, cuboid: Cuboid, measures: list[str], h: Hierarchy, level: int) -> DataFrame:
+    """Cells of a coarser level of a hierarchy from those of the level below it."""
+    below = cells.filter(F.col(f"{h.name}_level") == level + 1)
+    up = below.withColumns({f"{h.name}_level": F.lit(level), f"{h.name}_key": h.up(F.col(f"{h.name}_key"), level)})
+    return merge_cells(up, key_columns(cube, cuboid), cube, measures).select(*_all_columns(cube, cuboid, measures))
+
+
+def _all_columns(cube: Cube, cuboid: Cuboid, measures: Iterable[str]) -> list[str]:
+    return key_columns(cube, cuboid) + [f"`{c}`" for name in measures for c in state_columns(cube, cube.measures[name])]
 
 
 def lattice(cuboids: list[Cuboid]) -> dict[Cuboid, Cuboid | None]:
@@ -165,17 +164,22 @@ def derive_cells(cells: DataFrame, cube: Cube, parent: Cuboid, cuboid: Cuboid, m
     return merge_cells(cells, key_columns(cube, cuboid), cube, measures)
 
 
+def month_column(cube: Cube, cuboid: Cuboid) -> str | None:
+    """Column of the folders that a cuboid is cut into beside the levels."""
+    hierarchies = cube.hierarchies(cuboid)
+    return f"{hierarchies[0].name}_month" if hierarchies else None
+
+
 def cell_schema(cube: Cube, cuboid: Cuboid, measures: Iterable[str]) -> str:
     """Schema of the files of a cuboid, as DDL."""
     kinds = {k: "int" if k.endswith("_level") and k[:-6] in cube.dimensions else "string" for k in key_columns(cube, cuboid)}
     for name in measures:
-        kinds |= {c: "bigint" if c == f"{name}__cnt" else "double" for c in state_columns(cube, cube.measures[name])}
-    return ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", _written bigint"
-
-
-def _check_decay(s: SummaryFunction) -> None:
-    if HOUR_MS / s.summarizer.beta > 500:
-        raise ModelError(f"function {s.name}: dt is too short for hourly cells")
+        own = own_fields(cube, cube.measures[name])
+        kinds |= {c: "bigint" if c == f"{name}__cnt" else own[c][1].kind if c in own else "double" for c in state_columns(cube, cube.measures[name])}
+    kinds["_written"] = "bigint"
+    if month := month_column(cube, cuboid):
+        kinds[month] = "string"
+    return ", ".join(f"`{k}` {t}" for k, t in kinds.items())
 
 
 def chosen_cuboids(cube: Cube, groups: Collection[str] | None) -> list[Cuboid]:
@@ -197,91 +201,208 @@ def chosen_measures(cube: Cube, include: Collection[str] | None, exclude: Collec
     return found
 
 
-def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, spread: int | None = None) -> list[str]:
+def compile_batch(catalog: Catalog, cube: Cube, facts: DataFrame, batch: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, spread: int | None = None, keep: bool = False, absorbed: str = "error") -> list[str]:
     """Compile facts as the batch ``batch``; a batch of that name is replaced. The paths of the cuboids written.
 
-    A batch that a compaction has absorbed is not compiled again. Cuboids whose
-    dimensions another one has are derived from its cells. Facts are encoded
-    once and kept, on disk if need be, while several roots are made of them.
-    ``spread`` deals them into so many parts first: for inputs of a few splits,
-    such as files of one row group, that would leave cores idle.
+    A batch that a compaction has absorbed cannot be replaced: its cells are
+    one with others'. That is an error, or with ``absorbed="skip"`` leaves the
+    batch as it is (right for the same facts delivered again, as by a stream).
+    Cuboids whose dimensions another one has are derived from its cells.
+    ``spread`` deals the facts into so many parts first: for inputs of a few
+    splits, such as files of one row group, that would leave cores idle.
+    ``keep`` holds the encoded facts, on disk if need be, while several roots of
+    the lattice are made of them: for facts that cost more to make than to keep.
     """
     if not batch or "/" in batch or batch.startswith(("_", ".")):
         raise ModelError(f"{batch!r} is no name of a batch")
     spark, measures = facts.sparkSession, chosen_measures(cube, include, exclude)
     todo = []
     for cuboid in chosen_cuboids(cube, groups):
-        manifest = catalog.manifest(cube, cuboid)
-        if any(batch in b.get("absorbed", ()) for b in manifest.values()):
+        if any(holds(b.get("absorbed", {}), batch) for b in catalog.manifest(cube, cuboid).values()):
+            if absorbed != "skip":
+                raise ModelError(f"batch {batch} of cuboid {cuboid.path} has been absorbed by a compaction and cannot be replaced")
             continue
-        todo.append((cuboid, manifest))
-    parents = lattice([c for c, _ in todo])
-    roots = [c for c, _ in todo if parents[c] is None]
+        todo.append(cuboid)
+    parents = lattice(todo)
+    roots = [c for c in todo if parents[c] is None]
     if spread:
         facts = facts.repartition(spread)
     encoded = encode(facts, cube, dict.fromkeys(d for c in roots for d in c.dims), measures)
-    if len(roots) > 1:
+    keep = keep and len(roots) > 1
+    if keep:
         encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
+    attempt = {c: f"_attempt={batch}-{uuid.uuid4().hex[:12]}" for c in todo}
+    ranges: dict[str, list[str] | None] = {}  # of the hierarchies' finest keys in the facts, noted while they are written
+
+    def noted(cells: DataFrame, cuboid: Cuboid) -> tuple[DataFrame, Observation | None]:
+        if not (names := [h.name for h in cube.hierarchies(cuboid)]):
+            return cells, None
+        seen = Observation()
+        return cells.observe(seen, *(f(f"{n}_key").alias(f"{k}_{n}") for n in names for k, f in (("a", F.min), ("b", F.max)))), seen
 
-    def one(cuboid: Cuboid, manifest: dict[str, dict]) -> str:
+    def one(cuboid: Cuboid) -> Cuboid:
+        path = f"{catalog.table(cube, cuboid)}/{attempt[cuboid]}"
         if (parent := parents[cuboid]) is None:
-            cells = compile_cells(encoded, cube, cuboid, measures)
+            cells, seen = noted(finest_cells(encoded, cube, cuboid, measures), cuboid)
+            _write(cube, cuboid, cells, path)
+            if seen:
+                ranges.update({h.name: [seen.get[f"a_{h.name}"], seen.get[f"b_{h.name}"]] for h in cube.hierarchies(cuboid)})
+            for h in cube.hierarchies(cuboid):
+                for level in range(h.depth - 1, -1, -1):
+                    _write(cube, cuboid, rolled_up(_read(spark, cube, cuboid, measures, path), cube, cuboid, measures, h, level), path)
         else:
-            made = spark.read.schema(cell_schema(cube, parent, measures)).parquet(f"{catalog.table(cube, parent)}/{batch}")
-            cells = derive_cells(made, cube, parent, cuboid, measures)
-        _write(catalog, cube, cuboid, cells.withColumn("_written", F.lit(int(time.time())).cast("bigint")), batch)
-        catalog.write_manifest(cube, cuboid, manifest | {batch: {"written": int(time.time()), "measures": measures}})
-        return cuboid.path
-
-    written: list[str] = []
+            made = _read(spark, cube, parent, measures, f"{catalog.table(cube, parent)}/{attempt[parent]}")
+            _write(cube, cuboid, derive_cells(made, cube, parent, cuboid, measures), path)
+        span = ranges.get(cube.hierarchies(cuboid)[0].name) if cube.hierarchies(cuboid) else None
+        entry = {"path": attempt[cuboid], "written": int(time.time()), "measures": measures, "range": span if span and span[0] else None}
+        catalog.update_manifest(cube, cuboid, lambda batches: batches | {batch: entry})
+        return cuboid
+
+    written: list[Cuboid] = []
     try:
         with ThreadPoolExecutor(CUBOIDS_AT_ONCE) as pool:  # small cuboids leave cores idle: their jobs overlap
             while len(written) < len(todo):
-                ready = [(c, m) for c, m in todo if c.path not in written and (parents[c] is None or parents[c].path in written)]
-                jobs = [pool.submit(inheritable_thread_target(spark)(one), c, m) for c, m in ready]
-                written += [j.result() for j in jobs]
+                ready = [c for c in todo if c not in written and (parents[c] is None or parents[c] in written)]
+                written += [j.result() for j in [pool.submit(inheritable_thread_target(spark)(one), c) for c in ready]]
     finally:
-        if len(roots) > 1:
+        if keep:
             encoded.unpersist()
-    return written
+    return [c.path for c in written]
 
 
-def _write(catalog: Catalog, cube: Cube, cuboid: Cuboid, cells: DataFrame, batch: str) -> None:
-    # sorted by the key, so that the files' statistics let slices skip row groups
-    cells.sortWithinPartitions(*key_columns(cube, cuboid)).write.mode("overwrite").parquet(f"{catalog.table(cube, cuboid)}/{batch}")
+def _write(cube: Cube, cuboid: Cuboid, cells: DataFrame, path: str, by_month: bool = False) -> None:
+    """Add cells to a folder, by level and, if asked, by month.
 
+    For months, rebalancing brings the rows of a folder together; the runtime
+    splits what is large and joins what is small, so files have the advisory size.
+    """
+    keys, hierarchies, month = key_columns(cube, cuboid), cube.hierarchies(cuboid), month_column(cube, cuboid)
+    if "_written" not in cells.columns:
+        cells = cells.withColumn("_written", F.lit(int(time.time())).cast("bigint"))
+    folders = [f"{h.name}_level" for h in hierarchies]
+    rest = [k for k in keys if k not in folders]
+    if month:
+        first = f"{hierarchies[0].name}_key"
+        cells = cells.withColumn(month, F.when(F.col(first) == "", F.lit("-")).otherwise(F.substring(first, 1, 6)))
+        if by_month:
+            folders.append(month)
+            cells = cells.hint("rebalance", *folders)
+        else:
+            rest = [first, *(k for k in rest if k != first)]
+    writer = cells.sortWithinPartitions(*folders, *rest).write.mode("append")
+    (writer.partitionBy(*folders) if folders else writer).parquet(path)
 
-def read_cells(catalog: Catalog, cube: Cube, cuboid: Cuboid) -> DataFrame | None:
-    """All live cells of a cuboid, unmerged; None if nothing is compiled. Measures missing in a batch are null."""
-    batches = catalog.manifest(cube, cuboid)
+
+def _read(spark: SparkSession, cube: Cube, cuboid: Cuboid, measures: Iterable[str], *paths: str) -> DataFrame:
+    return spark.read.schema(cell_schema(cube, cuboid, measures)).option("basePath", paths[0].rsplit("/", 1)[0]).parquet(*paths)
+
+
+def read_cells(catalog: Catalog, cube: Cube, cuboid: Cuboid, batches: dict[str, dict] | None = None) -> DataFrame:
+    """All live cells of a cuboid (or those of the given batches), unmerged. Measures missing in a batch are null."""
+    batches = catalog.manifest(cube, cuboid) if batches is None else batches
+    measures = [m for m in dict.fromkeys(m for b in batches.values() for m in b["measures"]) if m in cube.measures]
     if not batches:
-        return None
+        return catalog.spark.createDataFrame([], cell_schema(cube, cuboid, cube.measures))
     table = catalog.table(cube, cuboid)
-    measures = [m for m in dict.fromkeys(m for b in batches.values() for m in b["measures"]) if m in cube.measures]
-    ddl = cell_schema(cube, cuboid, measures)
-    return catalog.spark.read.schema(ddl).parquet(*(f"{table}/{b}" for b in sorted(batches)))
+    layouts = [[f"{table}/{b['path']}" for _, b in sorted(batches.items()) if b.get("by_month", False) == x] for x in (False, True)]
+    return reduce(DataFrame.unionByName, (_read(catalog.spark, cube, cuboid, measures, *paths) for paths in layouts if paths))
+
+
+def within(batches: dict[str, dict], low: str | None, high: str | None) -> dict[str, dict]:
+    """Batches that may have cells of the first hierarchy's keys from ``low`` to ``high``."""
+    out = {}
+    for name, b in batches.items():
+        first, last = b.get("range") or (None, None)
+        if first is None or ((high is None or first[: len(high)] <= high) and (low is None or last[: len(low)] >= low)):
+            out[name] = b
+    return out
+
+
+def _last_write() -> Plain:
+    return Plain("_written", F.max("_written"), F.max)
+
+
+def unexpired(cells: DataFrame, cube: Cube, cuboid: Cuboid, batches: dict[str, dict], now: int | None = None) -> DataFrame:
+    """Cells that have not outlived the cuboid's TTL, which counts from a cell's last write in any batch.
+
+    Only if a batch is that old, cells are merged by their whole key first.
+    """
+    now = int(time.time()) if now is None else now
+    if not cuboid.ttl or all(b.get("oldest", b["written"]) >= now - cuboid.ttl for b in batches.values()):
+        return cells
+    measures = [m for m in cube.measures if f"{m}__cnt" in cells.columns]
+    keys, month = key_columns(cube, cuboid), month_column(cube, cuboid)
+    merged = merge_cells(cells, [*keys, month] if month else keys, cube, measures, extra=[_last_write()])
+    return merged.filter(F.col("_written") >= now - cuboid.ttl)
 
 
 def compact(catalog: Catalog, cube: Cube, cuboid: Cuboid, now: int | None = None) -> str | None:
     """Merge all batches of a cuboid into one, without cells older than its TTL; the new batch's name.
 
-    A cell's age counts from its last write in any batch. The old files go
-    after the manifest names the new batch alone.
+    A cell's age counts from its last write in any batch. Batches that come in
+    meanwhile stay as they are; if one that is merged here is replaced
+    meanwhile, this compaction ends with a ``Conflict`` and changes nothing.
     """
     batches = catalog.manifest(cube, cuboid)
-    cells = read_cells(catalog, cube, cuboid)
-    if cells is None:
+    if not batches:
         return None
+    cells = read_cells(catalog, cube, cuboid, batches)
     now = int(time.time()) if now is None else now
-    keys = key_columns(cube, cuboid)
     measures = [m for m in cube.measures if f"{m}__cnt" in cells.columns]
-    merged = merge_cells(cells, keys, cube, measures, extra=[F.max("_written").alias("_written")])
+    merged = merge_cells(cells, key_columns(cube, cuboid), cube, measures, extra=[_last_write()])
     if cuboid.ttl:
         merged = merged.filter(F.col("_written") >= now - cuboid.ttl)
     name = f"compacted-{time.time_ns()}"
-    _write(catalog, cube, cuboid, merged, name)
-    absorbed = sorted({x for b, v in batches.items() for x in (*v.get("absorbed", ()), *(() if b.startswith("compacted-") else (b,)))})
-    catalog.write_manifest(cube, cuboid, {name: {"written": max(b["written"] for b in batches.values()), "measures": measures, "absorbed": absorbed}})
-    for b in batches:
-        storage.delete(catalog.spark, f"{catalog.table(cube, cuboid)}/{b}")
+    path = f"_attempt={name}"
+    _write(cube, cuboid, merged, f"{catalog.table(cube, cuboid)}/{path}", by_month=True)
+    ranges = [b.get("range") for b in batches.values()]
+    entry = {"path": path, "by_month": month_column(cube, cuboid) is not None, "range": [min(r[0] for r in ranges), max(r[1] for r in ranges)] if all(ranges) else None, "written": max(b["written"] for b in batches.values()), "oldest": min(b.get("oldest", b["written"]) for b in batches.values()), "measures": measures}
+    entry["absorbed"] = gathered([b.get("absorbed", {}) for b in batches.values()], [b for b in batches if not b.startswith("compacted-")])
+
+    def swap(live: dict[str, dict]) -> dict[str, dict]:
+        if any(live.get(b, {}).get("path") != v["path"] for b, v in batches.items()):
+            raise storage.Conflict(f"a batch of cuboid {cuboid.path} was replaced during the compaction")
+        return {b: v for b, v in live.items() if b not in batches} | {name: entry}
+
+    catalog.update_manifest(cube, cuboid, swap)
     return name
+
+
+def vacuum(catalog: Catalog, cube: Cube, cuboid: Cuboid, grace: float = 3600) -> list[str]:
+    """Delete folders that the manifest does not name and that have not changed for ``grace`` seconds: replaced, absorbed and failed batches. Their names."""
+    table, live = catalog.table(cube, cuboid), {b["path"] for b in catalog.manifest(cube, cuboid).values()}
+    gone = [n for n in storage.folders(catalog.spark, table, older_than=time.time() - grace) if n not in live]
+    for n in gone:
+        storage.delete(catalog.spark, f"{table}/{n}")
+    return gone
+
+
+# Names of absorbed batches: names that end in a number, as those of micro-batches do, are kept as ranges of it.
+
+
+def _stem(batch: str) -> tuple[str, int | None]:
+    m = re.fullmatch(r"(.*-)(0|[1-9]\d*)", batch)
+    return (m[1], int(m[2])) if m else (batch, None)
+
+
+def holds(absorbed: dict[str, list], batch: str) -> bool:
+    stem, n = _stem(batch)
+    return stem in absorbed and (n is None or any(a <= n <= b for a, b in absorbed[stem]))
+
+
+def gathered(absorbed: Iterable[dict[str, list]], batches: Iterable[str]) -> dict[str, list]:
+    out: dict[str, set] = {}
+    for a in absorbed:
+        for stem, ranges in a.items():
+            out.setdefault(stem, set()).update(x for low, high in ranges for x in range(low, high + 1))
+    for stem, n in map(_stem, batches):
+        out.setdefault(stem, set()).update(() if n is None else (n,))
+    ranges: dict[str, list] = {}
+    for stem, numbers in out.items():
+        ranges[stem] = []
+        for n in sorted(numbers):
+            if ranges[stem] and ranges[stem][-1][1] == n - 1:
+                ranges[stem][-1][1] = n
+            else:
+                ranges[stem].append([n, n])
+    return ranges

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -13,6 +14,7 @@ from facetcube.engine import Engine
 from facetcube.functions.aggregates import SummaryFunction, canny_avg, canny_rate
 from facetcube.functions.summarizers import Summarizer, parse_init, welford, welford_merge, welford_variance
 from facetcube.model import Cube, Cuboid, DateHierarchy, HexDimension, IrregularSampleMeasure, NumericMeasure, TimeHourHierarchy, UTF8CharDimension
+from facetcube.operators.compile import cell_schema
 
 WEEK = 604_800_000.0
 
@@ -76,7 +78,7 @@ def compiled(spark: SparkSession, sf_dir: str, *cubes: str) -> Engine:
         if (id(spark), sf_dir, name) not in _engines:
             cube, facts = _FACTS[name]
             engine.deploy(cube)
-            engine.compile(cube, facts(spark, sf_dir), "all", spread=spark.sparkContext.defaultParallelism)  # the test tables are single files
+            engine.compile(cube, facts(spark, sf_dir), "all", spread=spark.sparkContext.defaultParallelism, keep=True)  # the test tables are single files
             _engines[(id(spark), sf_dir, name)] = engine
     return engine
 
@@ -297,7 +299,7 @@ def _compaction(spark: SparkSession, d: str) -> DataFrame:
     for i, part in enumerate(_quarters(spark, d)):
         e.compile("Small", part, f"b{i}")
     e.compact("Small")
-    e.compile("Small", _quarters(spark, d)[0], "b0")  # absorbed already: not compiled again
+    e.compile("Small", _quarters(spark, d)[0], "b0", absorbed="skip")  # in there already
     return rounded(e.sql(_WHOLE))
 
 
@@ -323,28 +325,42 @@ def _group(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e.sql(_WHOLE))
 
 
-@query("ttl_compaction", "select event_type, count(value) c from events where hour(ts) % 2 = 1 group by 1")
-def _ttl(spark: SparkSession, d: str) -> DataFrame:
-    import time
-
+def _aged(spark: SparkSession, d: str) -> Engine:
+    """A cube with a TTL of an hour and two batches, the second of which is made two hours older than it is."""
     cube = Cube.of("Small", _SMALL.dimensions.values(), [Cuboid(("event_type", "ts"), ttl=3600)], [NumericMeasure("value")])
     e, facts = new_engine(spark), event_facts(spark, d)
     e.deploy(cube)
     e.compile(cube, facts.filter(F.hour("ts") % 2 == 1), "new")
     e.compile(cube, facts.filter(F.hour("ts") % 2 == 0), "old")
-    # the second batch's cells are made two hours older than they are
     c = cube.cuboids[0]
-    table = e.catalog.table(cube, c)
-    spark.read.parquet(f"{table}/old").withColumn("_written", F.col("_written") - 7200).write.parquet(f"{table}/older")
-    m = e.catalog.manifest(cube, c)
-    m["older"] = m.pop("old")
-    e.catalog.write_manifest(cube, c, m)
-    e.compact(cube, now=int(time.time()))
+    table, batches = e.catalog.table(cube, c), e.catalog.manifest(cube, c)
+    old = batches["old"]
+    spark.read.schema(cell_schema(cube, c, ["value"])).parquet(f"{table}/{old['path']}").withColumn("_written", F.col("_written") - 7200).write.partitionBy("ts_level").parquet(f"{table}/_attempt=older")
+    e.catalog.update_manifest(cube, c, lambda m: m | {"old": old | {"path": "_attempt=older", "written": old["written"] - 7200}})
+    return e
+
+
+def _hours_left(e: Engine) -> DataFrame:
     # hour cells of the old batch are gone; a month's cell has been written by the new one too, so it stays whole
     hours = e.query("Small").add_group_by("event_type").group_by_level("ts", 2).select_dimension("event_type").select("COUNT", "value", "c").execute()
     return hours.groupBy("event_type").agg(F.sum("c").alias("c"))
 
 
+_YOUNG = "select event_type, count(value) c from events where hour(ts) % 2 = 1 group by 1"
+
+
+@query("ttl_on_read", _YOUNG)
+def _ttl_read(spark: SparkSession, d: str) -> DataFrame:
+    return _hours_left(_aged(spark, d))
+
+
+@query("ttl_compaction", _YOUNG)
+def _ttl(spark: SparkSession, d: str) -> DataFrame:
+    e = _aged(spark, d)
+    e.compact("Small", now=int(time.time()))
+    return _hours_left(e)
+
+
 @query("stream_foreach_batch", _WHOLE_SQL)
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     e = _small(spark)
@@ -451,7 +467,7 @@ def _rate_now(spark: SparkSession, d: str) -> DataFrame:
 @query("welford", "select event_type, round(avg(value), 3) mean, round(var_pop(value), 3) var from events group by 1")
 def _welford(spark: SparkSession, d: str) -> DataFrame:
     parts = _read(spark, d, "events").groupBy("event_type", (F.col("event_id") % 7).alias("part")).agg(welford(F.col("value")).alias("s"))
-    merged = parts.groupBy("event_type").agg(welford_merge(F.col("s")).alias("s"))
+    merged = welford_merge(parts, ["event_type"], "s")
     return rounded(merged.select("event_type", F.col("s.mean").alias("mean"), welford_variance(F.col("s")).alias("var")), 3)
 
 

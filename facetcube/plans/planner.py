@@ -51,7 +51,7 @@ def find_cuboid(cube: Cube, slices: Sequence[Slice], groups: Sequence[str], stri
     need = {s.dim for s in slices} | set(groups)
     found = [c for c in cube.cuboids if need <= set(c.dims) and (not strict or suitable(c, slices, groups))]
     if not found:
-        raise ModelError("Unable to find a suitable cuboid for the slice query.")
+        raise ModelError(f"no cuboid of {cube.name} is suitable: it needs the dimensions {sorted(need)}" + (", grouped ones before the others" if strict else ""))
     return min(found, key=lambda c: (not complete(c) if complete else False, len(c.dims), not suitable(c, slices, groups)))
 
 
@@ -120,14 +120,32 @@ def step(h: Hierarchy, key: str, level: int, by: int) -> str:
     return t.strftime(fmt).rjust(h.width(level), "0")
 
 
-def time_predicate(h: Hierarchy, slices: Sequence[Slice]) -> Column:
-    """Predicate over level and key for the (disjoint) slices of a hierarchy."""
+def time_predicate(h: Hierarchy, slices: Sequence[Slice], by_month: bool = False) -> Column:
+    """Predicate over level and key for the (disjoint) slices of a hierarchy; ``by_month``: also over the folders of its months."""
     level, key = F.col(f"{h.name}_level"), F.col(f"{h.name}_key")
     ranges = [r for s in slices for r in time_ranges(h, s)]
-    ors = [_all([level == k, *([key >= low] if low is not None else []), *([key <= high] if high is not None else [])]) for k, low, high in ranges]
+    ors = []
+    for k, low, high in ranges:
+        parts = [level == k]
+        for bounds, c in ((lambda x: x, key), *(((lambda x: x[:6]), F.col(f"{h.name}_month")),) * (by_month and k > 0)):
+            parts += [c >= bounds(low)] if low is not None else []
+            parts += [c <= bounds(high)] if high is not None else []
+        ors.append(_all(parts))
     return reduce(lambda a, b: a | b, ors) if ors else F.lit(False)
 
 
+def sliced_span(cube: Cube, cuboid: Cuboid, slices: Sequence[Slice]) -> tuple[str | None, str | None] | None:
+    """Least and largest key (None: unbounded) that the slices of a cuboid's first hierarchy leave; None if they leave all."""
+    first = next((d for d in cuboid.dims if cube.dimensions[d].depth), None)
+    own = [s for s in slices if s.dim == first]
+    if not own or any(s.complement for s in own) or any(isinstance(x, Member) and not x.level for s in own for x in (s.left, s.right)):
+        return None
+    h = cube.dimensions[first]
+    bounds = [[None if is_unbounded(x) else h.bound(x) for x in (s.left, s.right)] for s in own]
+    low, high = ([b[i] for b in bounds] for i in (0, 1))
+    return None if None in low else min(low), None if None in high else max(high)
+
+
 def predicates(cube: Cube, cuboid: Cuboid, slices: Sequence[Slice], levels: dict[str, int]) -> tuple[Column | None, Column | None]:
     """(predicate, weight) of the query's cells. ``levels``: hierarchies that are grouped at a level.
 
@@ -135,6 +153,7 @@ def predicates(cube: Cube, cuboid: Cuboid, slices: Sequence[Slice], levels: dict
     the interval, the latter with weight -1.
     """
     parts, weights = [], []
+    first = next((d for d in cuboid.dims if cube.dimensions[d].depth), None)
     for d in cuboid.dims:
         dim, own = cube.dimensions[d], [s for s in slices if s.dim == d]
         if dim.depth:
@@ -146,10 +165,10 @@ def predicates(cube: Cube, cuboid: Cuboid, slices: Sequence[Slice], levels: dict
                 parts.append(F.col(f"{d}_level") == 0)
             elif own[0].complement:
                 everything = F.col(f"{d}_level") == 0
-                parts.append(everything | time_predicate(dim, own))
+                parts.append(everything | time_predicate(dim, own, d == first))
                 weights.append(F.when(everything, 1).otherwise(-1))
             else:
-                parts.append(time_predicate(dim, own))
+                parts.append(time_predicate(dim, own, d == first))
             continue
         ors = []
         for s in own:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from facetcube.functions.aggregates import STANDARD, SummaryFunction
 from facetcube.model import Cube, ModelError
-from facetcube.operators.compile import key_columns, merge_cells, read_cells
-from facetcube.plans.planner import Slice, find_cuboid, predicates
+from facetcube.functions.folding import Plain
+from facetcube.operators.compile import merge_cells, read_cells, unexpired, within
+from facetcube.plans.planner import Slice, find_cuboid, predicates, sliced_span
 from facetcube.sources.catalog import Catalog
 
 
@@ -41,6 +42,7 @@ class CubeQuery:
         self.multi = False
         self.as_members = False
         self.in_order = False
+        self.now: int | None = None
         self.state_of: list[tuple[str, str]] = []
         if cube is not None:
             self.set_cube(cube)
@@ -161,6 +163,11 @@ class CubeQuery:
         self.in_order = True
         return self
 
+    def as_of(self, now: int) -> CubeQuery:
+        """Judge the age of cells, where the cuboid has a TTL, at this time (seconds) instead of the present."""
+        self.now = now
+        return self
+
     @property
     def aliases(self) -> list[str]:
         return [i.alias for i in self.items]
@@ -181,7 +188,7 @@ class CubeQuery:
         return f"cuboid {c.path}; cells {predicates(self._cube(), c, self.slices, self.levels)[0]}"
 
     def execute(self) -> DataFrame:
-        cube, spark = self._cube(), self.catalog.spark
+        cube = self._cube()
         wanted = [i for i in self.items if i.function]
         if not wanted:
             raise ModelError("the query has no measures")
@@ -197,13 +204,15 @@ class CubeQuery:
             if weight is not None and not f.supports_complement:
                 raise ModelError(f"{f.name} cannot be taken from a complement")
             fields.setdefault(i.name, {"cnt"}).update([f.name] if isinstance(f, SummaryFunction) else [f.name, *f.needs])
-        cells = read_cells(self.catalog, cube, cuboid)
-        if cells is None:
-            cells = spark.createDataFrame([], ", ".join(f"`{k}` {'int' if k.endswith('_level') else 'string'}" for k in key_columns(cube, cuboid)))
+        batches = self.catalog.manifest(cube, cuboid)
+        if (span := sliced_span(cube, cuboid, self.slices)) is not None:
+            batches = within(batches, *span)
+        cells = read_cells(self.catalog, cube, cuboid, batches)
         if where is not None:
             cells = cells.filter(where)
+        cells = unexpired(cells, cube, cuboid, batches, self.now)
         keys = [f"{g}_key" if g in self.levels else g for g in self.groups]
-        merged = merge_cells(cells, keys, cube, list(fields), fields, weight, extra=[F.count(F.lit(1)).alias("_cells")])
+        merged = merge_cells(cells, keys, cube, list(fields), fields, weight, extra=[Plain("_cells", F.count("_written"), F.sum)])
         if not keys:
             merged = merged.filter("_cells > 0")
         if self.in_order:

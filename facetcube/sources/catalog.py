@@ -1,17 +1,18 @@
 """Cubes in a warehouse folder: models, and which batches each cuboid consists of.
 
     <warehouse>/models/<cube>/v<N>.yaml      every saved version; the highest counts
-    <warehouse>/data/<table>/manifest.json   live batches of a cuboid
-    <warehouse>/data/<table>/<batch>/        Parquet files of a batch
+    <warehouse>/data/<table>/manifest-<n>.json   live batches of a cuboid; the highest n counts
+    <warehouse>/data/<table>/_attempt=<batch>-<id>/  Parquet files of a batch
 
-A batch becomes visible, or is replaced by a compaction, when the manifest is
-replaced. Only the compiler writes a cuboid; it has one writer at a time.
+A batch becomes visible, or is replaced, when the next manifest is published.
+Several writers may work on a cuboid: each publishes a change of the newest
+manifest.
 """
 
 from __future__ import annotations
 
-import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -62,8 +63,8 @@ class Catalog:
         """Save the model and make an empty dataset for each cuboid that has none. Never touches data."""
         self.save_model(cube)
         for c in cube.cuboids:
-            if not storage.exists(self.spark, f"{self.table(cube, c)}/manifest.json"):
-                self.write_manifest(cube, c, {})
+            if not storage.published(self.spark, self.table(cube, c), "manifest")[0]:
+                storage.publish(self.spark, self.table(cube, c), "manifest", 1, {})
 
     def drop(self, cube: Cube) -> None:
         """Delete all cuboids' data; the model stays. Goes on after an error and raises the last one."""
@@ -76,10 +77,22 @@ class Catalog:
         if last:
             raise last
 
+    def _manifest(self, cube: Cube, cuboid: Cuboid) -> tuple[int, dict[str, dict]]:
+        n, batches = storage.published(self.spark, self.table(cube, cuboid), "manifest")
+        if not n:
+            raise ModelError(f"cuboid {cuboid.path} of {cube.name} is not deployed")
+        return n, batches
+
     def manifest(self, cube: Cube, cuboid: Cuboid) -> dict[str, dict]:
-        """Live batches: name -> what was written when, with which measures, and the batches that it has absorbed."""
-        text = storage.read_text(self.spark, f"{self.table(cube, cuboid)}/manifest.json")
-        return json.loads(text) if text else {}
+        """Live batches: name -> folder, when it was written, with which measures, and the batches that it has absorbed."""
+        return self._manifest(cube, cuboid)[1]
 
-    def write_manifest(self, cube: Cube, cuboid: Cuboid, batches: dict[str, dict]) -> None:
-        storage.write_text(self.spark, f"{self.table(cube, cuboid)}/manifest.json", json.dumps(batches, indent=1, sort_keys=True))
+    def update_manifest(self, cube: Cube, cuboid: Cuboid, change: Callable[[dict[str, dict]], dict[str, dict]], tries: int = 20) -> None:
+        """Publish ``change`` of the newest manifest; if another writer was faster, of its one."""
+        for left in range(tries - 1, -1, -1):
+            n, batches = self._manifest(cube, cuboid)
+            try:
+                return storage.publish(self.spark, self.table(cube, cuboid), "manifest", n + 1, change(batches))
+            except storage.Published:
+                if not left:
+                    raise

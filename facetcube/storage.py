@@ -22,6 +22,10 @@ _written: dict[str, tuple[SparkSession, str]] = {}
 
 
 class Conflict(RuntimeError):
+    """What a writer has built on is no more."""
+
+
+class Published(Conflict):
     """Another writer has published the same version."""
 
 
@@ -96,6 +100,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def folders(spark: SparkSession, path: str, older_than: float) -> list[str]:
+    """Names of the folders in a folder that have not changed since a time (seconds)."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getModificationTime() < older_than * 1000) if fs.exists(p) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -140,7 +150,7 @@ def publish(spark: SparkSession, folder: str, stem: str, n: int, document: Any)
     """Publish version ``n``, which follows the one that was read. Readers see the old version or the new one, never none.
 
     The file is created only if it is absent: of two writers that followed the
-    same version one gets a ``Conflict``.
+    same version one gets ``Published``.
     """
     path = f"{folder}/{stem}-{n:08d}.json"
     fs, p = _fs(spark, path)
@@ -149,7 +159,7 @@ def publish(spark: SparkSession, folder: str, stem: str, n: int, document: Any)
     try:
         stream = fs.create(p, False)
     except Py4JJavaError as e:
-        raise Conflict(path) from e
+        raise Published(path) from e
     try:
         stream.write(bytearray(json.dumps(document, indent=1, sort_keys=True).encode()))
     finally:

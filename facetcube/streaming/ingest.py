@@ -14,15 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from facetcube.model import Cube
-from facetcube.operators.compile import compile_batch
+from facetcube.operators.compile import chosen_cuboids, compact, compile_batch, vacuum
 from facetcube.sources.catalog import Catalog
 
 
-def compile_stream(catalog: Catalog, cube: Cube, facts: DataFrame, name: str, checkpoint: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, processing_time: str | None = None) -> StreamingQuery:
-    """Start compiling a streaming DataFrame. Without ``processing_time`` it takes what is there and ends."""
+def compile_stream(catalog: Catalog, cube: Cube, facts: DataFrame, name: str, checkpoint: str, include: Collection[str] | None = None, exclude: Collection[str] | None = None, groups: Collection[str] | None = None, processing_time: str | None = None, compact_every: int | None = None) -> StreamingQuery:
+    """Start compiling a streaming DataFrame. Without ``processing_time`` it takes what is there and ends.
+
+    ``compact_every``: micro-batches after which the cuboids are compacted, so
+    that queries of a long stream read few files. A micro-batch that is
+    delivered again after that is in there already.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        compile_batch(catalog, cube, batch, f"{name}-{number}", include, exclude, groups)
+        compile_batch(catalog, cube, batch, f"{name}-{number}", include, exclude, groups, absorbed="skip")
+        if compact_every and number % compact_every == compact_every - 1:
+            for c in chosen_cuboids(cube, groups):
+                compact(catalog, cube, c)
+                vacuum(catalog, cube, c)
 
     writer = facts.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(one)
     return (writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)).start()

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from facetcube.functions.folding import Plain, fold
 from facetcube.functions.summarizers import Summarizer, parse_init, welford, welford_combine, welford_merge, welford_variance
 
 KINDS = [Summarizer("exp_avg", 600_000.0), Summarizer("canny_avg", 600_000.0), Summarizer("exp_rate", 600_000.0), Summarizer("canny_rate", 600_000.0), Summarizer("exp_avg", 2_000.0), Summarizer("canny_avg", 2_000.0)]
@@ -86,7 +87,7 @@ def test_welford(spark):
     xs = [rng.gauss(1, 5) for _ in range(10_000)]
     df = spark.createDataFrame([(i % 5, x) for i, x in enumerate(xs)] + [(9, None)], "g int, x double")
     parts = df.groupBy("g").agg(welford(F.col("x")).alias("s"))
-    m = parts.agg(welford_merge(F.col("s")).alias("s")).select("s.n", "s.mean", welford_variance(F.col("s")).alias("var")).first()
+    m = welford_merge(parts, [], "s").select("s.n", "s.mean", welford_variance(F.col("s")).alias("var")).first()
     assert m.n == 10_000 and abs(m.mean - 1) < 0.1 and abs(m["var"] - 25) < 2
     two = parts.filter("g < 2").groupBy().pivot("g", [0, 1]).agg(F.first("s"))
     exact = [x for i, x in enumerate(xs) if i % 5 < 2]
@@ -95,6 +96,53 @@ def test_welford(spark):
     assert c.mean == pytest.approx(mean) and c["var"] == pytest.approx(sum((x - mean) ** 2 for x in exact) / len(exact))
 
 
+def test_welford_of_large_means(spark):
+    """Means near 1e9 and deviations near 1: nothing cancels; a null key is a group; n is capped."""
+    rng = random.Random(2)
+    xs = [1e9 + rng.gauss(0, 1) for _ in range(4000)]
+    df = spark.createDataFrame([(i % 40, x) for i, x in enumerate(xs)], "part int, x double").withColumn("k", F.when(F.col("part") % 2 == 0, F.lit("a")))
+    parts = df.groupBy("k", "part").agg(welford(F.col("x")).alias("s"))
+    for k, var in {r.k: r["var"] for r in welford_merge(parts, ["k"], "s").select("k", welford_variance(F.col("s")).alias("var")).collect()}.items():
+        own = [x - 1e9 for i, x in enumerate(xs) if (i % 2 == 0) == (k == "a")]
+        mean = sum(own) / len(own)
+        assert var == pytest.approx(sum((x - mean) ** 2 for x in own) / len(own), rel=1e-6)
+    capped = welford_merge(parts, [], "s", most=100).select("s.n", welford_variance(F.col("s")).alias("var")).first()
+    assert capped.n == 100 and capped["var"] == pytest.approx(1, rel=0.1)
+
+
+@pytest.mark.parametrize("dt", [5.0, 600_000.0, 3e12])
+@pytest.mark.parametrize("k", [1.01, 4.0])
+def test_fold_takes_any_time_constant(spark, dt, k):
+    """States from samples, and merged from parts at random, equal the plain sums at the latest time."""
+    s, rng = Summarizer("canny_avg", dt, k=k), random.Random(4)
+    rows = [(rng.randrange(2), rng.randrange(4), rng.gauss(1, 1), 1.7e12 + rng.choice([0, 3e9, 4e9]) + rng.random() * dt * 3) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k int, part int, x double, t double")
+    whole = {r.k: r.state for r in s.summarize(df, ["k"], F.col("x"), F.col("t")).collect()}
+    parts = s.summarize(df, ["k", "part"], F.col("x"), F.col("t")).select("k", "state.*")
+    merged = {r.k: r for r in fold(parts, ["k"], [Plain("n", F.count("w"), F.sum)], [s.of_states()]).collect()}
+    for key, state in whole.items():
+        own = [(x, t) for kk, _, x, t in rows if kk == key]
+        last = max(t for _, t in own)
+        for f in s.sums:
+            exact = sum((x if f in "su" else 1) * math.exp((t - last) / s.tau(f)) for x, t in own)
+            assert state[f] == pytest.approx(exact, rel=1e-9) and merged[key][f] == pytest.approx(exact, rel=1e-9)
+        assert state["t"] == merged[key].t == last and merged[key].n == 4
+
+
+def test_fold_of_several_times(spark):
+    """Sums of different times and steps in one pass; keys without a sample keep their plain aggregates."""
+    rng = random.Random(6)
+    a, b = Summarizer("canny_rate", 10.0), Summarizer("exp_avg", 1e8)
+    rows = [(rng.randrange(3), rng.random(), rng.random() * 1e5 if rng.random() < 0.7 else None, rng.random() * 1e9) for _ in range(300)] + [(9, 1.0, None, None)]
+    df = spark.createDataFrame(rows, "k int, x double, t double, u double").withColumn("y", F.when(F.col("t").isNotNull(), F.col("x"))).withColumn("z", F.when(F.col("u").isNotNull(), F.col("x")))
+    both = {r.k: r for r in fold(df, ["k"], [Plain("sum", F.sum("x"), F.sum)], [a.of_samples("y", "t", "a_"), b.of_samples("z", "u", "b_")]).collect()}
+    for s, x, t, prefix in ((a, "y", "t", "a_"), (b, "z", "u", "b_")):
+        alone = {r.k: r for r in fold(df, ["k"], [], [s.of_samples(x, t, prefix)]).collect()}
+        assert all(both[k][c] == (None if r[c] is None else pytest.approx(r[c])) for k, r in alone.items() for c in [prefix + f for f in s.fields])
+    assert both[9]["sum"] == 1.0 and both[9].a_t is None and both[9].b_w is None
+    assert fold(df.limit(0), ["k"], [], [a.of_samples("y", "t")]).collect() == []
+
+
 def test_init_strings():
     s = parse_init("type=CANNY_AVG dt=600000 m=0.02 k=3")
     assert (s.kind, s.dt, s.m, s.k) == ("canny_avg", 600000.0, 0.02, 3.0)
