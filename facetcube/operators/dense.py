@@ -23,6 +23,8 @@ from facetcube.operators.facts import hex_member, once
 #: Rows a dense array is built from, and the low bits of an amount that are added apart, so that sums in doubles stay exact.
 ROWS_A_CHUNK = 1 << 19
 LOW_BITS = 24
+#: Slots of a block that are held before they are folded.
+SLOTS = 1 << 18
 
 
 def exact_bincount(codes: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -92,43 +94,59 @@ def split_blocks(batches: Iterator[pa.RecordBatch], fields: Sequence[str], amoun
         yield from emit(pa.Table.from_batches(held))
 
 
-def sum_blocks(tables: Iterator[pa.RecordBatch], width: int, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Add up the blocks of a sorted partition: dictionaries are united, arrays scattered into the united slots."""
+def sum_blocks(tables: Iterator[pa.RecordBatch], width: int, names: Sequence[str], slots: int = SLOTS) -> Iterator[pa.RecordBatch]:
+    """Add up the blocks of a sorted partition: dictionaries are united, arrays scattered into the united slots.
 
-    def finish(field: str, keys: list[pa.Array], arrays: list[np.ndarray]) -> pa.RecordBatch:
+    A block is folded while it is read, whenever ``slots`` slots, and twice as
+    many as it has keys, are held: memory is that of the keys of one block,
+    however many splits send to it.
+    """
+
+    def fold(keys: list[pa.Array], arrays: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
         united = pa.concat_arrays(keys).dictionary_encode()
         codes, size = united.indices.to_numpy(), len(united.dictionary)
         stacked = np.concatenate(arrays, axis=1)
-        sums = [exact_bincount(codes, stacked[i], size) for i in range(width)]
-        return pa.RecordBatch.from_arrays([pa.array([field] * size), united.dictionary, *map(pa.array, sums)], ["field", "item", *names])
+        return united.dictionary, np.stack([exact_bincount(codes, stacked[i], size) for i in range(width)])
+
+    def finish(field: str) -> pa.RecordBatch:
+        united, sums = fold(keys, arrays)
+        return pa.RecordBatch.from_arrays([pa.array([field] * len(united)), united, *map(pa.array, sums)], ["field", "item", *names])
 
-    at, keys, arrays = None, [], []
+    at, keys, arrays, held, most = None, [], [], 0, slots
     for b in tables:
         fields, blocks, ks, xs = (b.column(i) for i in range(4))
         for i in range(b.num_rows):
             key = (fields[i].as_py(), blocks[i].as_py())
             if at is not None and key != at:
-                yield finish(at[0], keys, arrays)
-                keys, arrays = [], []
+                yield finish(at[0])
+                keys, arrays, held, most = [], [], 0, slots
             at = key
             keys.append(ks[i].values)
             arrays.append(np.frombuffer(xs[i].as_py(), np.int64).reshape(width, -1))
+            held += arrays[-1].shape[1]
+            if held >= most:
+                united, sums = fold(keys, arrays)
+                keys, arrays, held = [united], [sums], len(united)
+                most = max(slots, 2 * held)
     if at is not None:
-        yield finish(at[0], keys, arrays)
+        yield finish(at[0])
 
 
-def per_key(rows: DataFrame, fields: Sequence[str], amounts: Sequence[str], blocks: int | None = None) -> DataFrame:
+def per_key(rows: DataFrame, fields: Sequence[str], amounts: Sequence[str], blocks: int | None = None, spread: int | None = None) -> DataFrame:
     """Results of every key of each binary column in ``fields``.
 
     Columns: field, item (the key), facts (rows with that key) and, for each
     amount, ``sum_a`` and ``n_a`` (non-null values). Null keys are no keys; null
-    amounts add nothing; an empty input gives no rows. ``blocks`` (default:
-    twice the shuffle partitions) bounds a reducer's share of the keys and
-    should grow with their number.
+    amounts add nothing; an empty input gives no rows. ``blocks`` (default: four
+    times the shuffle partitions): a reducer holds the keys of one of them at a
+    time. Load is even if the splits are: ``spread`` deals rows of an input
+    with uneven ones into so many first.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or 2 * parts
+    blocks = blocks or 4 * parts
+    if spread:
+        rows = rows.repartition(spread)
     names = ["facts", *(x for a in amounts for x in (f"sum_{a}", f"n_{a}"))]
     fields, amounts = list(fields), list(amounts)
     partial = rows.select(*fields, *(F.col(a).cast("bigint").alias(a) for a in amounts)).mapInArrow(lambda it: split_blocks(it, fields, amounts, blocks), "field string, block int, keys array<binary>, arrays binary")

@@ -222,6 +222,32 @@ def test_per_member_results(facts):
     assert dense.holding_share(dense.member_results(facts), 0.0).count() == dense.member_results(facts).count()
 
 
+def test_blocks_are_folded_while_read():
+    """50,000 splits send a block of 100 slots each, of a few hundred keys: five million slots are never held."""
+    rng = np.random.default_rng(3)
+    names = [b"k%d" % i for i in range(300)]
+    exact, peak = np.zeros(300, np.int64), []
+
+    def batches():
+        for _ in range(500):
+            picks = rng.integers(0, 300, (100, 100))
+            picks.sort(axis=1)
+            np.add.at(exact, picks.ravel(), 1)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, 10_001, 100), pa.int32()), pa.array([names[i] for i in picks.ravel()], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(["f"] * 100), pa.array([7] * 100, pa.int32()), keys, pa.array([np.ones(100, np.int64).tobytes()] * 100, pa.binary())], ["field", "block", "keys", "arrays"])
+            peak.append(pa.total_allocated_bytes())
+
+    out = pa.Table.from_batches(list(dense.sum_blocks(batches(), 1, ["facts"], slots=20_000))).to_pylist()
+    assert {r["item"]: r["facts"] for r in out} == {n: int(x) for n, x in zip(names, exact, strict=True)}
+    assert max(peak[100:]) < 1.5 * max(peak[:100]) + 1_000_000
+
+
+def test_per_key_of_uneven_splits(spark, facts):
+    rows = facts.select("dim1", "impCnt").coalesce(1)
+    one, many = (sorted(map(tuple, dense.per_key(rows, ["dim1"], ["impCnt"], spread=n).collect())) for n in (None, 5))
+    assert one == many and one
+
+
 def test_empty_and_null_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     nulls = spark.createDataFrame([(None,) * 12] * 3, SCHEMA)
