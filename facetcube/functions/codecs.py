@@ -45,3 +45,14 @@ def encode_path(dims: list[str]) -> str:
 def decode_path(path: str) -> list[str]:
     """Dimensions of a cuboid's path."""
     return path.split("/")
+
+
+def cut_utf8(c: Column, length: int) -> Column:
+    """Text of at most ``length`` UTF-8 bytes: longer text is cut before the code point that does not fit.
+
+    A cut is between code points where the byte behind it does not continue one.
+    """
+    raw = c.cast("binary")
+    between = lambda n: ~F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+    cuts = (F.when(between(n), F.substring(raw, 1, n).cast("string")) for n in range(length, max(length - 4, -1), -1))
+    return F.when(F.octet_length(c) > length, F.coalesce(*cuts)).otherwise(c)

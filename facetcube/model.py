@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetcube.functions.aggregates import STANDARD, AggFunction, SummaryFunction
+from facetcube.functions.codecs import cut_utf8
 
 
 class ModelError(ValueError):
@@ -115,8 +116,7 @@ class UTF8CharDimension(Dimension):
         c = F.rtrim(c.cast("string"), F.lit("\0"))
         if not self.auto_truncate:
             return F.when(F.octet_length(c) > self.length, F.raise_error(F.lit(f"dimension {self.name}: value too long"))).otherwise(c)
-        cut = F.regexp_replace(F.make_valid_utf8(F.substring(c.cast("binary"), 1, self.length).cast("string")), "�+$", "")
-        return F.when(F.octet_length(c) > self.length, cut).otherwise(c)
+        return cut_utf8(c, self.length)
 
     def bound(self, value: Any) -> str:
         if not isinstance(value, str):

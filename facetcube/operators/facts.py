@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetcube.functions.codecs import cut_utf8
+
 MS_PER_DAY = 86_400_000
 
 
@@ -21,8 +23,7 @@ def char_member(c: Column, keylen: int = 20) -> Column:
 
     A code point that the cut falls into is left out.
     """
-    cut = F.make_valid_utf8(F.substring(c.cast("binary"), 1, keylen).cast("string"))
-    return F.when(F.octet_length(c) > keylen, F.regexp_replace(cut, "�+$", "")).when(F.octet_length(c) > 0, c)
+    return F.when(F.octet_length(c) > 0, cut_utf8(c, keylen))
 
 
 def day_number(ms: Column) -> Column:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetcube import storage
-from facetcube.engine import Engine
-from facetcube.functions.aggregates import SummaryFunction, canny_avg, canny_rate
+from facetcube.engine import Engine, to_frame, write_text
+from facetcube.functions import codecs
+from facetcube.functions.aggregates import AggFunction, Field, SummaryFunction, canny_avg, canny_rate, distinct, register, state_of_fact
 from facetcube.functions.summarizers import Summarizer, parse_init, welford, welford_merge, welford_variance
 from facetcube.model import Cube, Cuboid, DateHierarchy, HexDimension, IrregularSampleMeasure, NumericMeasure, TimeHourHierarchy, UTF8CharDimension
-from facetcube.operators.compile import cell_schema
+from facetcube.operators.compile import cell_schema, read_cells
+from facetcube.sources.catalog import Catalog
+from facetcube.sources.facts import sample_facts
 
 WEEK = 604_800_000.0
 
@@ -512,3 +516,139 @@ def _having(spark: SparkSession, d: str) -> DataFrame:
 @query("ext_topk", "select lpad(upper(to_hex(l_suppkey)), 16, '0') suppkey, count(l_quantity) c from lineitem group by 1 order by c desc, suppkey limit 10")
 def _topk(spark: SparkSession, d: str) -> DataFrame:
     return compiled(spark, d, "Sales").sql("select suppkey, COUNT(quantity) as c from Sales group by suppkey").orderBy(F.desc("c"), "suppkey").limit(10)
+
+
+# --- functions and states of the model's own ------------------------------------------------------
+
+
+@query("custom_function", "select event_type k, round(exp(avg(ln(value + 1))), 4) g from events group by 1")
+def _custom(spark: SparkSession, d: str) -> DataFrame:
+    geometric = register(AggFunction("GEOMEAN", ("cnt",), lambda p: F.exp(p["logs"] / p["cnt"]), (("logs", Field(lambda x: F.sum(F.log(x)), F.sum)),)))
+    cube = Cube.of("Own", [UTF8CharDimension("k", 20)], [["k"]], [NumericMeasure("x")], [geometric])
+    e = new_engine(spark)
+    e.deploy(cube)
+    for i, part in enumerate(_quarters(spark, d)):
+        e.compile(cube, part.select(F.col("event_type").alias("k"), (F.col("value") + 1).alias("x")), f"b{i}")
+    return rounded(e.sql("select k, GEOMEAN(x) as g from Own group by k"))
+
+
+@query("distinct_function", "select event_type k, count(distinct user_id) > 0 as near from events group by 1")
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users by a mergeable sketch as a cube's function: near the exact number within five standard errors."""
+    users = register(distinct("USERS", 12))
+    cube = Cube.of("Users", [UTF8CharDimension("k", 20), TimeHourHierarchy("ts")], [["k", "ts"]], [NumericMeasure("user")], [users])
+    e, facts = new_engine(spark), _read(spark, d, "events").select(F.col("event_type").alias("k"), "ts", F.col("user_id").alias("user"))
+    e.deploy(cube)
+    e.compile(cube, facts, "all")
+    exact = facts.groupBy("k").agg(F.count_distinct("user").alias("x"))
+    return e.sql("select k, USERS(user) as n from Users group by k").join(exact, "k").select("k", (F.abs(F.col("n") - F.col("x")) <= 5 * 1.04 / 64 * F.col("x")).alias("near"))
+
+
+@query("state_of_facts", "select event_type, count(value) cnt, round(sum(value), 4) s, round(sum(value * value), 2) sq, round(min(value), 4) lo, round(max(value), 4) hi from events group by 1")
+def _state_of_facts(spark: SparkSession, d: str) -> DataFrame:
+    s = _read(spark, d, "events").select("event_type", state_of_fact(F.col("value")).alias("s"))
+    merged = s.groupBy("event_type").agg(F.sum("s.cnt").alias("cnt"), F.round(F.sum("s.sum"), 4).alias("s"), F.round(F.sum("s.sum_sq"), 2).alias("sq"), F.round(F.min("s.min"), 4).alias("lo"), F.round(F.max("s.max"), 4).alias("hi"))
+    return merged
+
+
+@query("summarizer_new", SQL["canny_avg"])
+def _new_state(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_states(spark, d, _CANNY).select("event_type", _CANNY.value(_CANNY.combine(_CANNY.new(), F.col("state"), _CANNY.new())).alias("v")))
+
+
+_CBIAS = parse_init("type=CANNY_BIASED_BINOMIAL dt=604800000 p0=0.75 epsilon=0.5")
+_CBW, _CBV = (f"exp((t - {_NOW}) / {_A_CAN}{x})" for x in ("", " * 4 / 3"))
+
+
+@query("canny_binomial_now", f"with m as (select event_type, (value > 50)::int x, epoch_ms(ts)::double t from events), b as (select (0.5 - 1) / ln(0.5) as unit) select event_type, round((max(unit) * 0.75 / 0.25 + 4 * sum(x * {_CBW}) - 3 * sum(x * {_CBV})) / (max(unit) + max(unit) * 0.75 / 0.25 + 4 * sum({_CBW}) - 3 * sum({_CBV})), 4) v from m, b group by 1")
+def _canny_binomial(spark: SparkSession, d: str) -> DataFrame:
+    s = _states(spark, d, _CBIAS, x=lambda: (F.col("value") > 50).cast("double"))
+    return rounded(s.select("event_type", _CBIAS.value_now(F.col("state"), F.lit(float(_NOW))).alias("v")))
+
+
+@query("rate_first_time", "select event_type, (epoch_us(min(ts)) // 1000)::double first_t, (epoch_us(max(ts)) // 1000)::double last_t from events group by 1")
+def _first_time(spark: SparkSession, d: str) -> DataFrame:
+    rate = parse_init("type=EXP_RATE dt=604800000")
+    return _states(spark, d, rate).select("event_type", rate.first_time(F.col("state")).alias("first_t"), F.col("state.t").alias("last_t"))
+
+
+@query("short_time_constant", "with m as (select event_type, value x, epoch_ms(ts)::double t, max(epoch_ms(ts)::double) over (partition by event_type) tm from events) select event_type, round(sum(x * exp((t - tm) / (5 / -ln(0.01)))) / sum(exp((t - tm) / (5 / -ln(0.01)))), 4) v from m group by 1")
+def _short(spark: SparkSession, d: str) -> DataFrame:
+    """An average with dt = 5 ms, through hour, month and ALL cells."""
+    cube = Cube.of("Short", [UTF8CharDimension("event_type", 20), TimeHourHierarchy("ts")], [["event_type", "ts"]], [IrregularSampleMeasure("valueSeries")], [SummaryFunction("avg5", 0, Summarizer("exp_avg", 5.0))])
+    e = new_engine(spark)
+    e.deploy(cube)
+    e.compile(cube, event_facts(spark, d), "all")
+    return rounded(e.sql("select event_type, avg5(valueSeries) as v from Short group by event_type"))
+
+
+# --- keys, models, sinks -------------------------------------------------------------------------
+
+
+@query("codec_keys", "select distinct lpad(hex(dim1), 32, '0') h, regexp_full_match(hex(dim1), '[0-9A-Fa-f]{32}') as is_id, lpad(cast(octet_length(dim1) as varchar), 4, '0') n, lpad(cast(octet_length(dim1) as varchar), 4, '0') || lpad(hex(dim1), 32, '0') as key from compiler_input where dim1 is not null")
+def _codecs(spark: SparkSession, d: str) -> DataFrame:
+    f = _read(spark, d, "compiler_input").filter("dim1 is not null")
+    h, n = codecs.hex_key(F.col("dim1"), 16), codecs.decimal_key(F.length("dim1"), 4)
+    return f.select(h.alias("h"), codecs.is_hex_id(F.hex("dim1"), 16).alias("is_id"), n.alias("n"), codecs.composite_key(n, h).alias("key")).distinct()
+
+
+@query("cuboid_consistency", "select p as cuboid, count(value) c, round(sum(value), 3) v from events, (select unnest(['event_type/ts', 'user_id/ts', 'user_id/event_type/ts', 'event_type', 'user_id/event_type']) p) group by 1")
+def _consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Every cuboid of a cube holds the same facts."""
+    e = compiled(spark, d, "Events")
+    totals = []
+    for c in EVENTS.cuboids:
+        cells = read_cells(e.catalog, EVENTS, c)
+        cells = cells.filter("ts_level = 0") if "ts" in c.dims else cells
+        totals.append(cells.agg(F.sum("value__cnt").alias("c"), F.round(F.sum("value__sum"), 3).alias("v")).withColumn("cuboid", F.lit(c.path)))
+    return reduce(DataFrame.unionByName, totals)
+
+
+@query("text_sink", SQL["count_by_type"])
+def _text(spark: SparkSession, d: str) -> DataFrame:
+    path = storage.scratch(spark, "text")
+    write_text(compiled(spark, d, "Events").sql("select event_type, COUNT(value) as c from Events group by event_type"), path)
+    return spark.read.option("sep", "\t").schema("event_type string, c bigint").csv(path)
+
+
+@query("frame_sink", "select hex(unhex(lpad(upper(to_hex(user_id)), 16, '0'))) user_id, round(sum(value), 4) v from events group by 1")
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    q = compiled(spark, d, "Events").query("Events").add_group_by("user_id").members().select_dimension("user_id").select("SUM", "value", "v")
+    return rounded(spark.createDataFrame(to_frame(q.execute())))
+
+
+@query("sample_application", "select lpad(to_hex(k), 32, '0') dim1, strftime(date '2011-09-01' + to_months(cast(m as integer)), '%Y%m') as month, sum(i + k + 1)::bigint n from range(2) a(k), range(10) b(m), range(120) c(i) group by 1, 2")
+def _sample(spark: SparkSession, d: str) -> DataFrame:
+    cube = Cube.of("Example", [HexDimension("dim1", 16), TimeHourHierarchy("impressionTime", 0)], [["dim1", "impressionTime"]], [NumericMeasure("impCnt")])
+    e = new_engine(spark)
+    e.deploy(cube)
+    e.compile(cube, sample_facts(spark), "all")
+    months = e.query("Example").add_group_by("dim1").group_by_level("impressionTime", 1).select_dimension("dim1").select_dimension("impressionTime", "month").select("COUNT", "impCnt", "n").execute()
+    return months.filter("month <> '197001'").select("dim1", "month", "n")
+
+
+@query("model_store", "select unnest(['v1', 'v2']) as version, true as equal, 0 as batches")
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    """Models are kept in versions and survive a drop of the data."""
+    e = _small(spark)
+    e.drop("Small")
+    e.deploy(_SMALL)
+    again = Catalog(spark, e.catalog.warehouse)
+    same = again.load_model("Small") == _SMALL
+    batches = sum(len(again.manifest(_SMALL, c)) for c in _SMALL.cuboids)
+    return spark.createDataFrame([(f"v{v}", same, batches) for v in again.versions("Small")], "version string, equal boolean, batches int")
+
+
+_BAD = {"no cube": "select SUM(value) as v from Nowhere", "no measure": "select SUM(nothing) as v from Events", "no function": "select MEDIAN(value) as v from Events", "not grouped": "select user_id, SUM(value) as v from Events group by event_type", "no measures": "select event_type from Events group by event_type", "same alias": "select SUM(value) as v, COUNT(value) as v from Events", "no cuboid": "select SUM(value) as v from Events where value in [1]", "syntax": "select SUM(value as v from Events"}
+
+
+@query("refused_queries", f"select unnest({list(_BAD)}) as why, true as refused")
+def _refused(spark: SparkSession, d: str) -> DataFrame:
+    e, out = compiled(spark, d, "Events"), []
+    for why, text in _BAD.items():
+        try:
+            e.sql(text)
+            out.append((why, False))
+        except ValueError:  # ModelError and QuerySyntaxError
+            out.append((why, True))
+    return spark.createDataFrame(out, "why string, refused boolean")

@@ -41,6 +41,14 @@ def test_codecs(spark):
     assert codecs.decode_path(codecs.encode_path(["a", "b"])) == ["a", "b"]
 
 
+def test_cut_between_code_points(spark):
+    texts = ["", "abc", "abcde", "äöü", "a€€", "ab\U0001f600", "\U0001f600\U0001f600", "ab\ufffdcd", "\ufffd\ufffd\ufffd", "abc\ufffd", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 4, 5, 20):
+        expected = [None if t is None else t.encode()[:n].decode(errors="ignore") for t in texts]
+        assert [r.c for r in df.select(codecs.cut_utf8(F.col("t"), n).alias("c")).collect()] == expected
+
+
 def test_custom_functions(spark, engine):
     geometric = register(AggFunction("GEOMEAN", ("cnt",), lambda p: F.exp(p["logs"] / p["cnt"]), (("logs", Field(lambda x: F.sum(F.log(x)), F.sum)),)))
     cube = Cube.of("G", [UTF8CharDimension("k", 5)], [["k"]], [NumericMeasure("x")], [geometric])
