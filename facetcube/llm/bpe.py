@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from facetcube.llm.arrow import ragged
+from facetcube.arrow import ragged
 from facetcube.llm.codes import Codes, Table, span_hashes, text_chunks, uniques
 
 NONE = np.int32(1 << 30)
@@ -45,9 +45,23 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """Read a ``tokenizers`` JSON file of a byte-level BPE model."""
+        """Read a ``tokenizers`` JSON file of a byte-level BPE model.
+
+        The encoder does what such a file says with the byte-level
+        pre-tokenizer and its own pattern, and nothing else: another
+        pre-tokenizer, a normalizer, a prefix space, dropout, word ends or the
+        like are an error, not a wrong encoding.
+        """
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            given = json.load(f)
+        model, before = given["model"], given.get("pre_tokenizer") or {}
+        kept = {
+            "normalizer": given.get("normalizer") is None,
+            "pre_tokenizer": before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True),
+            "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        }
+        if wrong := [k for k, ok in kept.items() if not ok]:
+            raise ValueError(f"{path}: not a plain byte-level BPE: {', '.join(wrong)}")
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         made = {a + b: i for i, (a, b) in enumerate(merges)}

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from facetcube.llm.arrow import binary_rows, column
+from facetcube.arrow import binary_rows, column
 
 #: Code points worked on at once; bounds the memory of a kernel. A longer text makes a chunk of its own.
 CHARS_A_CHUNK = 1 << 20

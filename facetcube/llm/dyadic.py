@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetcube.llm.arrow import binary_rows, chunks, column, folded, ragged, runs
+from facetcube.arrow import binary_rows, chunks, column, folded, ragged, runs
 from facetcube.operators.facts import hex_member, once
 from facetcube.storage import materialize
 

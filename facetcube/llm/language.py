@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from facetcube.llm.arrow import ragged
+from facetcube.arrow import ragged
 from facetcube.llm.codes import MULT, Codes, Table, mix, span_hashes, text_chunks, uniques
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "ru", "zh", "ja")

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from facetcube.llm.arrow import ragged
+from facetcube.arrow import ragged
 from facetcube.llm.codes import Codes, Table, text_chunks
 
 GRAM = 8

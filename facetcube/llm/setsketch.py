@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetcube.llm.arrow import binary_rows, chunks, column, folded, ragged, runs, whole_groups
+from facetcube.arrow import binary_rows, chunks, column, folded, ragged, runs, whole_groups
 from facetcube.operators.facts import char_member, day_key, day_number, hex_member, once
 from facetcube.storage import materialize
 

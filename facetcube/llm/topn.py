@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetcube.llm.arrow import binary_rows, column, ragged, runs, whole_groups
+from facetcube.arrow import binary_rows, column, ragged, runs, whole_groups
 from facetcube.operators.facts import hex_member, once
 
 TOP = np.uint64(1 << 63)

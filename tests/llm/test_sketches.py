@@ -228,7 +228,7 @@ def test_states_are_folded_while_read():
         reduced.append(t.num_rows)
         return dyadic._merged(t, d)
 
-    from facetcube.llm.arrow import folded
+    from facetcube.arrow import folded
 
     out = pa.Table.from_batches(list(folded(iter([many.slice(0, 1000)] * 50 + [many]), reduce, rows=2000))).to_pylist()
     assert [(r["grp"], r["codes"], r["counts"]) for r in out] == [(b"g", [d.zero + 3], [102_000]), (b"h", [d.zero + 3], [2])]

@@ -398,3 +398,25 @@ def test_blocks_are_skipped(index):
     assert len(spy.search(np.zeros(3, np.int64), few)[0]) == 0 and sum(opened) == 0
     spy.search(np.zeros(4000, np.int64), index.terms[:4000])
     assert 0 < sum(opened) <= int(np.diff(index.block_start)[:4000].sum())
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer, model"):
+        bpe.Vocabulary.load(f"{TOKENIZERS}/word_bpe_49k.json")
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+        given = json.load(f)
+    given["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(given))
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.Vocabulary.load(str(tmp_path / "t.json"))
+
+
+def test_a_word_of_megabytes(vocabulary, library):
+    rng = random.Random(8)
+    texts = ["a" * 300_000, "".join(rng.choice("abcdefghij") for _ in range(100_000)), "\u4e00\u5b57" * 50_000]
+    ids, counts = vocabulary.encode([t.encode() for t in texts])
+    ends = np.cumsum(counts)
+    for t, s, e in zip(texts, ends - counts, ends, strict=True):
+        assert library.encode(t, add_special_tokens=False).ids == ids[s:e].tolist()
