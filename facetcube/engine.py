@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
+import tempfile
 from collections.abc import Callable, Collection, Iterator
 from typing import Any
 
@@ -17,6 +20,15 @@ from facetcube.sources.yaml_model import load_cube
 from facetcube.streaming.ingest import compile_stream
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once. Not needed where it is installed on them."""
+    if not getattr(spark.sparkContext, "_facetcube_shipped", False):
+        root = pathlib.Path(__file__).parent
+        at = shutil.make_archive(str(pathlib.Path(tempfile.mkdtemp()) / root.name), "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(at)
+        spark.sparkContext._facetcube_shipped = True
+
+
 class Engine:
     """All operations on the cubes below ``warehouse``."""
 

@@ -16,7 +16,7 @@ def read_facts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
 
 
 def from_protobuf(records: DataFrame, message: str, descriptor: str, column: str = "value") -> DataFrame:
-    """Facts from serialised protobuf messages in a binary column. ``descriptor``: path of a descriptor set; needs spark-protobuf on the class path."""
+    """Facts from serialised protobuf messages in a binary column. ``descriptor``: path of a descriptor set; needs spark-protobuf on the class path. For flat messages ``protobuf.read_messages`` needs nothing."""
     from pyspark.sql.protobuf.functions import from_protobuf as decode
 
     return records.select(decode(F.col(column), message, descFilePath=descriptor).alias("m")).select("m.*")

@@ -66,3 +66,64 @@ def test_custom_functions(spark, engine):
 def test_state_of_a_fact(spark):
     rows = spark.createDataFrame([(3,), (None,)], "x int").select(state_of_fact(F.col("x")).alias("s")).collect()
     assert rows[0].s.asDict() == {"cnt": 1, "sum": 3.0, "sum_sq": 9.0, "min": 3.0, "max": 3.0} and rows[1].s is None
+
+
+def varint(x):
+    x &= (1 << 64) - 1
+    out = bytearray()
+    while x >= 0x80:
+        out.append(x & 0x7F | 0x80)
+        x >>= 7
+    return bytes(out) + bytes([x])
+
+
+def test_protobuf_messages(spark):
+    import random
+    import struct
+
+    from facetcube.sources import protobuf
+
+    fields = {"dim1": (1, "bytes"), "impressionTime": (4, "uint64"), "impCnt": (5, "int64"), "delta": (6, "sint64"), "ratio": (7, "double"), "name": (8, "string"), "ok": (20, "bool"), "share": (9, "float")}
+    rng, rows, messages = random.Random(3), [], []
+    for _ in range(300):
+        v = {"dim1": rng.randbytes(rng.randrange(200)), "impressionTime": rng.randrange(2**62), "impCnt": rng.randrange(-(2**62), 2**62), "delta": rng.randrange(-1000, 1000), "ratio": rng.random(), "name": rng.choice(["", "ä€", "x" * 300]), "ok": rng.random() < 0.5, "share": 0.25}
+        v = {k: x for k, x in v.items() if rng.random() < 0.7}
+        parts = []
+        for k, x in [*v.items(), *((k, x) for k, x in v.items() if rng.random() < 0.1)]:
+            n, kind = fields[k]
+            wire = protobuf.KINDS[kind][1]
+            raw = x.encode() if kind == "string" else x
+            body = {0: lambda: varint((x << 1) ^ (x >> 63) if kind == "sint64" else int(x)), 1: lambda: struct.pack("<d", x), 5: lambda: struct.pack("<f", x), 2: lambda: varint(len(raw)) + raw}[wire]()
+            parts.append(varint(n << 3 | wire) + body)
+        parts.insert(0, varint(99 << 3 | 2) + varint(3) + b"abc")  # a field that nobody asks for
+        messages.append(b"".join(parts))
+        rows.append(tuple(bytearray(v[k]) if k == "dim1" and k in v else v.get(k) for k in fields))
+    df = spark.createDataFrame([(bytearray(m),) for m in messages] + [(None,), (bytearray(),)], "value binary").coalesce(2)
+    got = [tuple(r) for r in protobuf.read_messages(df, fields).collect()]
+    assert got == [*rows, *[(None,) * len(fields)] * 2]
+    for broken in (b"\x08", b"\x0a\x05ab", b"\x39\x01", b"\x0b", b"\x08" + b"\xff" * 11):
+        with pytest.raises(protobuf.BrokenMessage):
+            protobuf.parse(__import__("pyarrow").array([broken]), {"a": (1, "int64"), "d": (7, "double")})
+    with pytest.raises(ValueError, match="kinds"):
+        protobuf.read_messages(df, {"a": (1, "group")})
+
+
+def test_the_package_can_be_sent_to_executors(tmp_path):
+    """From another folder, workers do not see the package unless it is sent to them."""
+    import pathlib
+    import subprocess
+    import sys
+
+    script = f"""
+import sys
+sys.path.insert(0, {str(pathlib.Path(__file__).parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from facetcube.engine import ship
+from facetcube.operators.dense import per_key
+ship(spark)
+ship(spark)
+print("rows", per_key(spark.createDataFrame([(bytearray(b"a"), 1)], "k binary, x bigint"), ["k"], ["x"]).count())
+"""
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 1" in out.stdout, out.stderr[-2000:]
