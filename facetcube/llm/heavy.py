@@ -28,6 +28,10 @@ from facetcube.operators.facts import char_member, hex_member
 from facetcube.storage import materialize
 
 
+#: Candidates that are sent to all executors, by the bound on their number; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def local_counts(facts: DataFrame, members: dict[str, Column], nodes: int) -> DataFrame:
     """(node, field, item, n): exact counts in each node's slice, a fact once.
 
@@ -65,8 +69,10 @@ def threshold_top(counts: DataFrame, nodes: int, share: float) -> DataFrame:
     sent = counts.filter(F.col("n") * nodes >= bound).groupBy("field", "item").agg(F.sum("n").alias("low"), F.count(F.lit(1)).alias("_from"))
     unsent = F.ceil(bound / F.lit(float(nodes))) - 1
     candidates = sent.withColumn("high", F.col("low") + (nodes - F.col("_from")) * unsent).filter(F.col("high") >= bound).drop("_from")
-    # phase 3: exact counts of the candidates, of which there are at most nodes / share a field
-    exact = counts.join(F.broadcast(candidates), ["field", "item"]).groupBy("field", "item", "low", "high").agg(F.sum("n").alias("facts"))
+    # phase 3: exact counts of the candidates, of which there are at most nodes / share a field: sent to all while that is few
+    if nodes * k * len(bounds) <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
+    exact = counts.join(candidates, ["field", "item"]).groupBy("field", "item", "low", "high").agg(F.sum("n").alias("facts"))
     return exact.filter(F.col("facts") * 1_000_000 >= of_field(1) * round(share * 1_000_000))
 
 

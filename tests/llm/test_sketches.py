@@ -37,6 +37,13 @@ def test_frequent_members(facts, nodes, share):
     assert all(r.low <= r.facts <= r.high for r in got)
 
 
+def test_many_candidates_are_not_broadcast(facts, monkeypatch):
+    expected = sorted(heavy.frequent_members(facts, 0.02, 3).collect())
+    monkeypatch.setattr(heavy, "BROADCAST_ROWS", 0)
+    df = heavy.frequent_members(facts, 0.02, 3)
+    assert sorted(df.collect()) == expected and "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_frequent_members_of_nothing(nothing):
     for df in nothing:
         assert heavy.frequent_members(df).count() == 0
