@@ -4,6 +4,7 @@ import pathlib
 
 import pytest
 
+from facetcube.llm.language import label_names
 from facetcube.llm.queries import QUERIES, SQL
 from facetcube.llm.setsketch import SetSketch
 from facetcube.plans.fact_sql import FACTS, key_of_day
@@ -44,6 +45,27 @@ def test_every_pair_of_months_is_compared(spark):
         assert abs(got[k]["jaccard"] - len(u & v) / len(u | v)) < 6 * max(got[k]["jaccard_error"], 0.01)
 
 
+def test_languages_agree_with_most_labels(spark):
+    named = {r.doc_id: label_names(r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = QUERIES["p9_languages"](spark, SF).collect()
+    docs = [r for r in rows if r.par_no == -1 and named[r.doc_id] and r.lang]
+    assert len(docs) > 50 and sum(r.lang == named[r.doc_id] for r in docs) > 0.8 * len(docs)
+    assert all(0 <= x <= 1 + 1e-9 for r in rows for x in (r.confidence, r.none_of_these))
+    assert len({(r.doc_id, r.par_no) for r in rows}) == len(rows)
+
+
+def test_segments_follow_each_other(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    by_paragraph = {}
+    for r in sorted(QUERIES["p9_segments"](spark, SF).collect()):
+        by_paragraph.setdefault((r.doc_id, r.par_no), []).append(r)
+    assert by_paragraph
+    for (doc, _), rows in by_paragraph.items():
+        assert [r.seg_no for r in rows] == list(range(len(rows))) and len(rows) > 1
+        assert all(a.ends <= b.begins and a.lang != b.lang for a, b in zip(rows, rows[1:], strict=False))
+        assert all(0 <= r.begins < r.ends <= len(texts[doc]) for r in rows)
+
+
 def test_nothing_outside_imports_it():
     root = pathlib.Path(__file__).parents[2]
     for p in (root / "facetcube").rglob("*.py"):
