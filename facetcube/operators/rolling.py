@@ -23,6 +23,7 @@ state holds the active entities, not all there ever were.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -276,6 +277,16 @@ class RollingStore:
             self._store("state", step, rows.withColumn("v", F.lit(own["version"])))
         self._publish(seen, [*steps, own])
 
+    def vacuum(self, grace: float = 3600) -> list[str]:
+        """Delete the folders of replaced and failed steps that have not changed for ``grace`` seconds; their names."""
+        live, gone = {s["id"] for s in self.steps()}, []
+        for kind in ("amounts", "state"):
+            old = storage.folders(self.spark, f"{self.path}/{kind}", time.time() - grace)
+            gone += [f"{kind}/{n}" for n in old if n not in live]
+        for n in gone:
+            storage.delete(self.spark, f"{self.path}/{n}")
+        return gone
+
 
 END_DAY = 20240330
 MEASURES = ["impCnt", "click"]

@@ -32,8 +32,8 @@ class Published(Conflict):
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session.
 
-    Where it is unset, a local master gets a temporary one. On a cluster that
-    is an error: each machine would write to a disk of its own, and what is
+    Where it is unset, a local master (all processes on this machine) gets a
+    temporary one. On a cluster that is an error: each machine would write to a disk of its own, and what is
     read back would be a part of the result.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             at = set_already.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        elif re.fullmatch(r"local(-cluster)?(\[.*\])?", spark.sparkContext.master):
             at = "file://" + tempfile.mkdtemp(prefix="facetcube-")
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
