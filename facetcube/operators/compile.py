@@ -129,18 +129,16 @@ def finest_cells(encoded: DataFrame, cube: Cube, cuboid: Cuboid, measures: list[
         plain += [Plain(f"{name}__{f}", FIELDS[f].of_facts(x), FIELDS[f].of_cells) for f in base_fields(m)]
         plain += [Plain(c, f.of_facts(x).cast(f.kind), f.of_cells) for c, (_, f) in own_fields(cube, m).items()]
         decaying += [s.summarizer.of_samples(f"{name}__x", f"{name}__t", f"{name}__{s.name}__") for s in cube.summaries(m)]
-    cells = fold(encoded, keys, plain, joined(decaying))
-    cells = cells.withColumns({f"{h.name}_level": F.lit(h.depth) for h in hierarchies}) if hierarchies else cells
     # no fact with the measure: no state
-    none = {f"{name}__cnt": F.nullif(F.col(f"`{name}__cnt`"), F.lit(0).cast("bigint")) for name in measures}
-    return cells.withColumns(none).select(*_all_columns(cube, cuboid, measures))
+    made = {f"{h.name}_level": f"{h.depth} as `{h.name}_level`" for h in hierarchies} | {f"`{name}__cnt`": f"nullif(`{name}__cnt`, 0L) as `{name}__cnt`" for name in measures}
+    return fold(encoded, keys, plain, joined(decaying)).selectExpr(*(made.get(c, c) for c in _all_columns(cube, cuboid, measures)))
 
 
 def rolled_up(cells: DataFrame, cube: Cube, cuboid: Cuboid, measures: list[str], h: Hierarchy, level: int) -> DataFrame:
     """Cells of a coarser level of a hierarchy from those of the level below it."""
     below = cells.filter(F.col(f"{h.name}_level") == level + 1)
     up = below.withColumns({f"{h.name}_level": F.lit(level), f"{h.name}_key": h.up(F.col(f"{h.name}_key"), level)})
-    return merge_cells(up, key_columns(cube, cuboid), cube, measures).select(*_all_columns(cube, cuboid, measures))
+    return merge_cells(up, key_columns(cube, cuboid), cube, measures)
 
 
 def _all_columns(cube: Cube, cuboid: Cuboid, measures: Iterable[str]) -> list[str]:
@@ -277,18 +275,19 @@ def _write(cube: Cube, cuboid: Cuboid, cells: DataFrame, path: str, by_month: bo
     splits what is large and joins what is small, so files have the advisory size.
     """
     keys, hierarchies, month = key_columns(cube, cuboid), cube.hierarchies(cuboid), month_column(cube, cuboid)
-    if "_written" not in cells.columns:
-        cells = cells.withColumn("_written", F.lit(int(time.time())).cast("bigint"))
+    more = {} if "_written" in cells.columns else {"_written": F.lit(int(time.time())).cast("bigint")}
     folders = [f"{h.name}_level" for h in hierarchies]
     rest = [k for k in keys if k not in folders]
     if month:
         first = f"{hierarchies[0].name}_key"
-        cells = cells.withColumn(month, F.when(F.col(first) == "", F.lit("-")).otherwise(F.substring(first, 1, 6)))
+        more[month] = F.when(F.col(first) == "", F.lit("-")).otherwise(F.substring(first, 1, 6))
         if by_month:
             folders.append(month)
-            cells = cells.hint("rebalance", *folders)
         else:
             rest = [first, *(k for k in rest if k != first)]
+    cells = cells.withColumns(more) if more else cells
+    if by_month and month:
+        cells = cells.hint("rebalance", *folders)
     writer = cells.sortWithinPartitions(*folders, *rest).write.mode("append")
     (writer.partitionBy(*folders) if folders else writer).parquet(path)
 
